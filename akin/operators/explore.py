@@ -51,7 +51,7 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float])
     to one bucket, until a bucket holds a single value. A pass brings back bucket counts only.
     """
     value = F.col(column).cast("double")
-    clean = df.select(value.alias("v")).filter(F.col("v").isNotNull())
+    clean = df.select(value.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
     n, low, high = clean.agg(F.count("v"), F.min("v"), F.max("v")).first()
     if n == 0:
         return [None] * len(probabilities)
@@ -78,7 +78,9 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float])
             *(
                 F.when(
                     F.col("i") == i,
-                    F.least(F.floor((F.col("v") - lo) / ((hi - lo) / BUCKETS)), F.lit(BUCKETS - 1)),
+                    F.least(
+                        F.floor((F.col("v") - lo) / max((hi - lo) / BUCKETS, 5e-324)), F.lit(BUCKETS - 1)
+                    ),
                 )
                 for i, (lo, hi) in enumerate(keys)
             )

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from akin.config import FeatureParams
-from akin.functions.text import bigrams, clean_html, tokens
+from akin.functions.text import bigrams, tokens
 from akin.sources.scratch import written
 
+MAX_LISTED = 10_000  # words that may be listed in an expression
+
 GROUPS = ("genre", "text", "platform", "type", "language")
 
 
@@ -104,28 +106,41 @@ def run_lengths(df: DataFrame, key: str, values: str, value_name: str) -> DataFr
     return df.select(key, values, starts.alias("_starts")).select(key, F.inline(runs))
 
 
-def item_terms(items: DataFrame, params: FeatureParams = FeatureParams()) -> DataFrame:
-    """(id, term, tf) of every word and word pair of the clean summary; no shuffle."""
-    words = items.select(
-        "id", tokens(clean_html(F.col("summary_clean")), params.stop_words).alias("_words")
-    )
-    grams = words.select(
-        "id", F.array_sort(F.concat("_words", bigrams(F.col("_words")))).alias("_grams")
-    )
-    return run_lengths(grams, "id", "_grams", "term")
+def item_words(items: DataFrame, params: FeatureParams = FeatureParams()) -> DataFrame:
+    """(id, words): the words of the clean summary in order, stop words left out."""
+    clean = F.coalesce("summary_clean", F.lit(""))
+    return items.select("id", tokens(clean, params.stop_words).alias("words"))
 
 
-def term_vocab(items: DataFrame, params: FeatureParams = FeatureParams()) -> DataFrame:
-    """The kept terms with df, total tf and idf; at most `max_terms` rows.
+def _term_counts(words: DataFrame, terms: Column) -> DataFrame:
+    """df and total tf of the elements of an array column.
 
-    Each item contributes one row per distinct term, so the counting is combined before the shuffle.
+    Repeats are counted in the row they come from, the rest is combined before the shuffle.
     """
-    n_items = items.count()
-    kept = (
-        item_terms(items, params)
+    ordered = words.select("id", F.sort_array(terms).alias("_terms"))
+    return (
+        run_lengths(ordered, "id", "_terms", "term")
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
-        .filter((F.col("df") >= params.min_df) & (F.col("df") <= F.lit(params.max_df * n_items)))
+    )
+
+
+def term_vocab(words: DataFrame, params: FeatureParams = FeatureParams()) -> DataFrame:
+    """The kept words and word pairs with df, total tf and idf; at most `max_terms` rows.
+
+    A pair occurs no more often than either of its words. So once the single words are counted, only
+    pairs of words that are frequent enough themselves can still get in, and only those are counted.
+    """
+    n_items = words.count()
+    singles = written(_term_counts(words, F.col("words")), "words")
+    in_range = (F.col("df") >= params.min_df) & (F.col("df") <= F.lit(params.max_df * n_items))
+    best = singles.filter(in_range).orderBy(F.desc("tf"), "term").limit(params.max_terms)
+    least = best.agg(F.count(F.lit(1)).alias("n"), F.min("tf").alias("tf")).first()
+    floor = least.tf if least.n == params.max_terms else 0
+    frequent = singles.filter((F.col("df") >= params.min_df) & (F.col("tf") >= floor)).select("term")
+    pairs = _pairs_of(words, frequent)
+    kept = (
+        best.union(_term_counts(words.select("id", pairs.alias("pairs")), F.col("pairs")).filter(in_range))
         .orderBy(F.desc("tf"), "term")
         .limit(params.max_terms)
     )
@@ -139,32 +154,49 @@ def term_vocab(items: DataFrame, params: FeatureParams = FeatureParams()) -> Dat
     )
 
 
-def fit_terms(items: DataFrame, params: FeatureParams = FeatureParams()) -> DataFrame:
+def _pairs_of(words: DataFrame, frequent: DataFrame) -> Column:
+    """Word pairs made of frequent words; of all words when the frequent ones are too many to list."""
+    known = [row.term for row in frequent.limit(MAX_LISTED + 1).collect()]
+    if len(known) > MAX_LISTED:
+        return bigrams(F.col("words"))
+    listed = F.transform("words", lambda w: F.when(w.isin(*known), w)) if known else F.array()
+    rest = F.greatest(F.size("words") - 1, F.lit(0))
+    both = F.zip_with(
+        F.slice(listed, F.lit(1), rest),
+        F.slice(listed, F.lit(2), rest),
+        lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.concat_ws(" ", a, b)),
+    )
+    return F.filter(both, lambda pair: pair.isNotNull())
+
+
+def fit_terms(words: DataFrame, params: FeatureParams = FeatureParams()) -> DataFrame:
     """`term_vocab` written down; no term left is an error."""
-    vocab = written(term_vocab(items, params), "terms")
+    vocab = written(term_vocab(words, params), "terms")
     if vocab.isEmpty():
         raise ValueError("empty vocabulary: no term is left after pruning by document frequency")
     return vocab
 
 
-def text_vectors(
-    items: DataFrame, vocab: DataFrame, params: FeatureParams = FeatureParams()
-) -> DataFrame:
+def text_vectors(words: DataFrame, vocab: DataFrame) -> DataFrame:
     """Packed TF-IDF rows (id, term_ids, tfs, weights) of the items that hold a known term.
 
     The vocabulary is bounded by `max_terms`, hence the broadcast. An item's terms leave the row
     they came from already combined, so only one packed row per item is shuffled.
     """
-    hits = item_terms(items, params).join(
+    terms = F.concat("words", bigrams(F.col("words")))
+    known = [row.term for row in vocab.select("term").limit(MAX_LISTED + 1).collect()]
+    if len(known) <= MAX_LISTED:
+        terms = F.filter(terms, lambda t: t.isin(*known))
+    ordered = words.select("id", F.sort_array(terms).alias("_terms"))
+    hits = run_lengths(ordered, "id", "_terms", "term").join(
         F.broadcast(vocab.select("term", "term_id", "idf")), "term"
     )
+    weight = F.col("tf") * F.col("idf")
     packed = hits.groupBy("id").agg(
-        F.array_sort(
-            F.collect_list(F.struct("term_id", "tf", (F.col("tf") * F.col("idf")).alias("w")))
-        ).alias("v")
+        F.sort_array(F.collect_list(F.struct("term_id", "tf", weight.alias("w")))).alias("v"),
+        F.sqrt(F.sum(weight * weight)).alias("norm"),
     )
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
-    return packed.withColumn("norm", norm).select(
+    return packed.select(
         "id",
         F.col("v.term_id").alias("term_ids"),
         F.col("v.tf").alias("tfs"),
@@ -222,7 +254,8 @@ def type_onehot(items: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def extract(items: DataFrame, params: FeatureParams = FeatureParams()) -> FeatureSet:
     """Fit every vocabulary and build one packed feature row per item."""
-    terms = fit_terms(items, params)
+    words = written(item_words(items, params), "tokens")
+    terms = fit_terms(words, params)
     platforms = written(top_categories(items, "platform", params.top_platforms), "platforms")
     languages = written(top_categories(items, "language", params.top_languages), "languages")
     types = written(type_vocab(items), "types")
@@ -232,10 +265,10 @@ def extract(items: DataFrame, params: FeatureParams = FeatureParams()) -> Featur
     base = with_bucket(base, "platform", platforms, params.top_platforms, "platform_bucket")
     base = with_bucket(base, "language", languages, params.top_languages, "language_bucket")
     base = base.join(types, "type", "left")
-    vectors = text_vectors(items, terms, params)
+    vectors = text_vectors(words, terms)
     packed = base.join(vectors, "id", "left").select(
         "id",
-        F.array_sort(F.array_distinct(F.coalesce("genres", _none("string")))).alias("genres"),
+        F.sort_array(F.array_distinct(F.coalesce("genres", _none("string")))).alias("genres"),
         "platform_bucket",
         "type",
         "type_id",
@@ -357,7 +390,7 @@ def feature_sums(features: FeatureSet, params: FeatureParams = FeatureParams())
 def top_terms(vectors: DataFrame, vocab: DataFrame, n: int = 10) -> DataFrame:
     """The heaviest terms of each item, in the row: an item has at most `max_terms` of them."""
     best = F.slice(
-        F.array_sort(
+        F.sort_array(
             F.transform(
                 F.arrays_zip("term_ids", "weights"),
                 lambda x: F.struct(

@@ -59,7 +59,7 @@ def distinct_profiles(keyed: DataFrame, n_heads: int) -> DataFrame:
         .groupBy("profile")
         .agg(
             F.min("id").alias("rep"),
-            F.array_sort(F.collect_list("id")).alias("heads"),
+            F.sort_array(F.collect_list("id")).alias("heads"),
             *(F.any_value(c).alias(c) for c in _PAYLOAD),
         )
         .withColumn("copies", F.size("heads").cast("long"))
@@ -145,7 +145,8 @@ def top_neighbours(
         return best_of(table, lo, hi, mixes, top_n, min_similarity, metadata_mode)
 
     found = grouped_in_arrow(groups, _FOUND, score)
-    lists = _merged(found, top_n + 1)
+    # Both branches below read the lists, and scoring must not run again when an executor is lost.
+    lists = written(_merged(found, top_n + 1), "lists")
 
     alone = lists.filter(F.col("copies") == 1).withColumn("item_id", F.col("rep"))
     copied = profiles.filter(F.col("copies") > 1).select("profile", F.col("rep").alias("_rep"))
@@ -190,7 +191,7 @@ def _merged(found: DataFrame, n: int) -> DataFrame:
         )
     )
     return packed.select(
-        "scheme", "rep", "copies", F.slice(F.array_sort(spelled_out), 1, n).alias("best")
+        "scheme", "rep", "copies", F.slice(F.sort_array(spelled_out), 1, n).alias("best")
     )
 
 

@@ -17,6 +17,15 @@ def read_raw(spark: SparkSession, path: str, file_format: str = "json") -> DataF
     return spark.read.schema(RAW_ITEM).format(file_format).load(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Partition a small input by key when its files give fewer tasks than there are cores.
+
+    An input of many files is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def capped(items: DataFrame, page_size: int = 100, max_items: int | None = None) -> DataFrame:
     """The first items by id, rounded up to whole pages; no cap when `max_items` is 0 or None."""
     if page_size < 1:
