@@ -394,7 +394,9 @@ def top_terms(vectors: DataFrame, vocab: DataFrame, n: int = 10) -> DataFrame:
             F.transform(
                 F.arrays_zip("term_ids", "weights"),
                 lambda x: F.struct(
-                    (-F.round(x["weights"], 9)).alias("o"), x["term_ids"].alias("term_id")
+                    (-F.round(x["weights"], 9)).alias("o"),
+                    x["term_ids"].alias("term_id"),
+                    x["weights"].alias("weight"),
                 ),
             )
         ),
@@ -403,8 +405,7 @@ def top_terms(vectors: DataFrame, vocab: DataFrame, n: int = 10) -> DataFrame:
     )
     return (
         vectors.select("id", F.posexplode(best).alias("pos", "b"))
-        .select("id", (F.col("pos") + 1).cast("long").alias("rank"), "b.term_id",
-                (-F.col("b.o")).alias("weight"))
+        .select("id", (F.col("pos") + 1).cast("long").alias("rank"), "b.term_id", "b.weight")
         .join(F.broadcast(vocab.select("term_id", "term")), "term_id")
         .select("id", "rank", "term", "weight")
     )
