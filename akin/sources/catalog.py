@@ -80,7 +80,7 @@ def save_catalog(catalog: DataFrame, path: str) -> None:
 def save_catalog_csv(catalog: DataFrame, path: str) -> None:
     """The catalog as CSV with the genres as a JSON array."""
     catalog.withColumn("genres", F.to_json("genres")).write.mode("overwrite").csv(
-        path, header=True, escape='"', multiLine=True
+        path, header=True, escape='"'
     )
 
 
