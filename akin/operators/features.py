@@ -38,35 +38,36 @@ class FeatureSet:
 # --- vocabularies -------------------------------------------------------------------------------
 
 
-def indexed(values: DataFrame, value: str, index: str) -> DataFrame:
-    """Dense 0-based positions of distinct values in sorted order, without one global sort task.
+def positioned(rows: DataFrame, order: list[str], index: str) -> DataFrame:
+    """Add the 0-based position of each row in the given order, without one global sort task.
 
-    Values are range-partitioned and numbered within their range; only the range sizes, one row per
-    partition, are summed up in one place.
+    `order` must tell all rows apart. Rows are range-partitioned and numbered within their range;
+    only the range sizes, one row per partition, are summed up in one place.
     """
     ranged = written(
-        values.repartitionByRange(value).select(value, F.spark_partition_id().alias("_range")),
-        "ranged",
+        rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranged"
     )
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(value))
-    return ranged.join(F.broadcast(offsets), "_range").select(
-        value, (F.col("_first") + within - 1).cast("long").alias(index)
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return (
+        ranged.join(F.broadcast(offsets), "_range")
+        .withColumn(index, (F.col("_first") + within - 1).cast("long"))
+        .drop("_range", "_first")
     )
 
 
 def genre_vocab(items: DataFrame) -> DataFrame:
     """Distinct genres with their position in sorted order."""
-    return indexed(items.select(F.explode("genres").alias("genre")).distinct(), "genre", "genre_id")
+    genres = items.select(F.explode("genres").alias("genre")).distinct()
+    return positioned(genres, ["genre"], "genre_id")
 
 
 def type_vocab(items: DataFrame) -> DataFrame:
     """Distinct non-null types with their position in sorted order."""
-    return indexed(
-        items.filter(F.col("type").isNotNull()).select("type").distinct(), "type", "type_id"
-    )
+    types = items.filter(F.col("type").isNotNull()).select("type").distinct()
+    return positioned(types, ["type"], "type_id")
 
 
 def top_categories(items: DataFrame, column: str, n: int) -> DataFrame:

@@ -20,15 +20,16 @@ class Block:
     """Dense views of the packed rows of one block, in the order of `rep`."""
 
     def __init__(self, table: pa.Table, n_genres: int, n_terms: int):
+        self.table = table
         self.n = table.num_rows
         self.rep = table["rep"].to_numpy()
         self.copies = table["copies"].to_numpy()
-        self.heads = table["heads"].combine_chunks() if "heads" in table.column_names else None
         self.platform = table["platform_bucket"].to_numpy()
         self.language = table["language_bucket"].to_numpy()
         self.type = table["type_code"].to_numpy()
-        self.genres = self._dense(table["genre_codes"], None, n_genres)
-        self.genre_norm = np.sqrt(self.genres.sum(axis=1))
+        genres = self._dense(table["genre_codes"], None, n_genres)
+        self.n_genres = genres.sum(axis=1)
+        self.genres = genres / np.sqrt(np.maximum(self.n_genres, 1))[:, None]
         self.text = self._dense(table["term_ids"], table["weights"], n_terms)
 
     def _dense(self, ids, weights, width: int) -> np.ndarray:
@@ -42,39 +43,51 @@ class Block:
         return out
 
 
-def blocks_of(table: pa.Table, lo: int, hi: int) -> tuple[Block, Block]:
-    """The two blocks of a group, with genres and types numbered within the group."""
+def split(table: pa.Table, column: str, values: tuple) -> list[Block]:
+    """One block per value of `column`, with genres and types numbered alike in all of them."""
     table = table.sort_by("rep").combine_chunks()
     genres = table["genres"].combine_chunks()
     codes = genres.flatten().dictionary_encode()
-    table = table.append_column(
-        "genre_codes", pa.ListArray.from_arrays(genres.offsets, codes.indices)
-    )
+    # The offsets may belong to a slice of a longer array; flatten() starts at the first row.
+    offsets = pc.subtract(genres.offsets, genres.offsets[0]) if len(genres) else genres.offsets
+    table = table.append_column("genre_codes", pa.ListArray.from_arrays(offsets, codes.indices))
     types = table["type"].combine_chunks().dictionary_encode()
     table = table.append_column("type_code", pc.fill_null(types.indices, -1))
     terms = table["term_ids"].combine_chunks().flatten()
-    n_terms = int(pc.max(terms).as_py() or 0) + 1 if len(terms) else 1
-    parts = [table.filter(pc.equal(table["block"], b)) for b in (lo, hi)]
-    first = Block(parts[0], len(codes.dictionary), n_terms)
-    return first, first if lo == hi else Block(parts[1], len(codes.dictionary), n_terms)
+    n_terms = int(pc.max(terms).as_py()) + 1 if len(terms) else 1
+    return [
+        Block(table.filter(pc.equal(table[column], v)), len(codes.dictionary), n_terms) for v in values
+    ]
 
 
-def components(a: Block, rows: slice, b: Block, mode: str):
-    """Genre, text and metadata cosines of some rows of `a` against all of `b`."""
-    genre = a.genres[rows] @ b.genres.T
-    norm = np.outer(a.genre_norm[rows], b.genre_norm)
-    np.divide(genre, norm, out=genre, where=norm > 0)
-    text = a.text[rows] @ b.text.T
+def blocks_of(table: pa.Table, lo: int, hi: int) -> tuple[Block, Block]:
+    """The two blocks of an unordered pair."""
+    if lo == hi:
+        only = split(table, "block", (lo,))[0]
+        return only, only
+    first, second = split(table, "block", (lo, hi))
+    return first, second
+
+
+def agreement(a: Block, rows, b: Block, cols, mode: str) -> np.ndarray:
+    """Metadata cosine of rows of `a` and columns of `b`, whose indexes are broadcast together."""
     types = a.type[rows]
-    metadata = (a.platform[rows][:, None] == b.platform).astype(float)
-    metadata += a.language[rows][:, None] == b.language
-    metadata += (types[:, None] == b.type) & (types >= 0)[:, None]
+    out = (a.platform[rows] == b.platform[cols]).astype(float)
+    out += a.language[rows] == b.language[cols]
+    out += (types == b.type[cols]) & (types >= 0)
     if mode == "mean":
-        metadata /= 3.0
-    else:
-        entries_a, entries_b = 2.0 + (types >= 0), 2.0 + (b.type >= 0)
-        metadata /= np.sqrt(np.outer(entries_a, entries_b))
-    return genre, text, metadata
+        return out / 3.0
+    return out / np.sqrt((2.0 + (types >= 0)) * (2.0 + (b.type[cols] >= 0)))
+
+
+def components(a: Block, rows: slice, b: Block, mode: str):
+    """Genre, text and metadata cosines of some rows of `a` against all of `b`."""
+    at = np.arange(rows.start, rows.stop)[:, None]
+    return (
+        a.genres[rows] @ b.genres.T,
+        a.text[rows] @ b.text.T,
+        agreement(a, at, b, np.arange(b.n)[None, :], mode),
+    )
 
 
 def units(score: np.ndarray) -> np.ndarray:
@@ -86,55 +99,90 @@ def row_chunks(n: int):
     return (slice(at, min(at + ROWS_AT_ONCE, n)) for at in range(0, n, ROWS_AT_ONCE))
 
 
-def best_of_blocks(table, lo, hi, schemes, top_n, min_similarity, mode):
-    """Best `top_n` partners of each row among the other block, and the row's own copies if any.
+MARGIN = 2e-9  # keeps a bound safe from rounding
+
 
-    A tie goes to the smaller id: columns are in id order, and the column is part of the sort key.
+def best_of(table, target, schemes, top_n, mode, seeded):
+    """The best `top_n` targets of each asking row, and the row itself when it has copies.
+
+    A row brings the lowest score that still matters to it, per scheme. Without seeds that is the
+    threshold, and a better floor comes from the scores themselves. A tie goes to the smaller id.
     """
-    left, right = blocks_of(table, lo, hi)
+    asking = table.filter(pc.and_(table["asks"], pc.not_equal(table["home"], target)))
+    offered = table.filter(pc.invert(table["asks"]))
+    if asking.num_rows == 0 or offered.num_rows == 0:
+        return None
+    a, b = split(pa.concat_tables([asking, offered]), "asks", (True, False))
+    heads = b.table["heads"].combine_chunks()
+    floors = a.table["floors"].combine_chunks().flatten().to_numpy().reshape(a.n, len(schemes))
+    within_reach = np.flatnonzero((ceilings(a, b, schemes) >= floors).any(axis=1))
     found = []
-    for a, b in ((left, right),) if lo == hi else ((left, right), (right, left)):
-        if a.n == 0 or b.n == 0:
-            continue
-        for rows in row_chunks(a.n):
-            parts = components(a, rows, b, mode)
-            for scheme, weights in enumerate(schemes):
-                mixed = sum(w * part for w, part in zip(weights, parts))
-                found.append(_best(a, rows, b, scheme, mixed, parts, top_n, min_similarity, lo == hi))
+    for at in range(0, len(within_reach), ROWS_AT_ONCE):
+        rows = within_reach[at : at + ROWS_AT_ONCE]
+        genre, text = a.genres[rows] @ b.genres.T, a.text[rows] @ b.text.T
+        for scheme, weights in enumerate(schemes):
+            row, col, score, metadata = _best(
+                a, rows, b, genre, text, weights, floors[rows, scheme], top_n, mode, seeded
+            )
+            found.append(
+                pa.table(
+                    {
+                        "scheme": pa.array(np.full(len(row), scheme, dtype=np.int32)),
+                        "rep": pa.array(a.rep[rows[row]]),
+                        "copies": pa.array(a.copies[rows[row]]),
+                        "other": pa.array(b.rep[col]),
+                        "score": pa.array(score / SCALE),
+                        "genre_score": pa.array(genre[row, col]),
+                        "text_score": pa.array(text[row, col]),
+                        "metadata_score": pa.array(metadata),
+                        "heads": heads.take(pa.array(col)),
+                    }
+                )
+            )
     return pa.concat_tables(found) if found else None
 
 
-def _best(a, rows, b, scheme, mixed, parts, top_n, min_similarity, same_block):
-    score = units(mixed)
-    usable = score / SCALE >= min_similarity
-    own_row = np.arange(rows.stop - rows.start)
-    own_col = own_row + rows.start
-    if same_block:
-        own = usable[own_row, own_col] & (a.copies[rows] > 1)
-        usable[own_row, own_col] = False
-    key = np.where(usable, score * b.n + np.arange(b.n - 1, -1, -1), np.iinfo(np.int64).min)
-    if b.n > top_n:
-        cols = np.argpartition(key, b.n - top_n, axis=1)[:, b.n - top_n :]
-    else:
-        cols = np.broadcast_to(np.arange(b.n), key.shape)
-    keep = np.take_along_axis(usable, cols, axis=1)
-    row, col = np.nonzero(keep)[0], cols[keep]
-    if same_block:
-        row = np.concatenate([row, own_row[own]])
-        col = np.concatenate([col, own_col[own]])
-    return pa.table(
-        {
-            "scheme": pa.array(np.full(len(row), scheme, dtype=np.int32)),
-            "rep": pa.array(a.rep[rows][row]),
-            "copies": pa.array(a.copies[rows][row]),
-            "other": pa.array(b.rep[col]),
-            "score": pa.array(score[row, col] / SCALE),
-            "genre_score": pa.array(parts[0][row, col]),
-            "text_score": pa.array(parts[1][row, col]),
-            "metadata_score": pa.array(parts[2][row, col]),
-            "heads": b.heads.take(pa.array(col)),
-        }
-    )
+def ceilings(a: Block, b: Block, schemes) -> np.ndarray:
+    """An upper bound of the score of each row of `a` against any row of `b`, per scheme.
+
+    Shared genres are at most those that occur in `b`; a dot product is at most the one with the
+    largest weight that each term has in `b`.
+    """
+    if min(min(w) for w in schemes) < 0:
+        return np.full((a.n, len(schemes)), np.inf)
+    sizes = b.n_genres[b.n_genres > 0]
+    smallest = sizes.min() if len(sizes) else 1.0
+    shared = (a.genres > 0).astype(float) @ (b.genres > 0).any(axis=0).astype(float)
+    genre = np.minimum(1.0, shared / np.sqrt(np.maximum(a.n_genres, 1) * smallest))
+    text = np.minimum(1.0, a.text @ b.text.max(axis=0))
+    return np.stack([g * genre + t * text + m for g, t, m in schemes], axis=1) + MARGIN
+
+
+def _best(a, rows, b, genre, text, weights, floor, top_n, mode, seeded):
+    g, t, m = weights
+    partial = g * genre + t * text
+    own_col = np.minimum(np.searchsorted(b.rep, a.rep[rows]), b.n - 1)
+    own_row = np.flatnonzero(b.rep[own_col] == a.rep[rows])
+    own_col = own_col[own_row]
+    partial[own_row, own_col] = -np.inf
+    reach = floor
+    if not seeded and b.n > top_n:
+        # Metadata adds between min(m, 0) and max(m, 0) to every partial score.
+        nth = np.partition(partial, b.n - top_n, axis=1)[:, b.n - top_n]
+        reach = np.maximum(floor, nth + min(m, 0.0))
+    row, col = np.nonzero(partial >= (reach - max(m, 0.0) - MARGIN)[:, None])
+    copied = a.copies[rows[own_row]] > 1
+    row = np.concatenate([row, own_row[copied]])
+    col = np.concatenate([col, own_col[copied]])
+    metadata = agreement(a, rows[row], b, col, mode)
+    score = units(g * genre[row, col] + t * text[row, col] + m * metadata)
+    itself = b.rep[col] == a.rep[rows[row]]
+    order = np.lexsort((col, -score, itself, row))
+    order = order[score[order] / SCALE >= floor[row[order]]]
+    line = row[order]
+    start = np.searchsorted(line, line)
+    order = order[(np.arange(len(order)) - start < top_n) | itself[order]]
+    return row[order], col[order], score[order], metadata[order]
 
 
 NAMES = ("genre", "text", "metadata", "hybrid")

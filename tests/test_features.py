@@ -97,7 +97,7 @@ def test_genres_are_multi_hot_without_repeats(spark, items):
 
 def test_dense_positions_over_many_ranges(spark):
     values = spark.range(1000).select(F.format_string("%05d", (F.col("id") * 7) % 1000).alias("v"))
-    rows = ops.indexed(values, "v", "i").collect()
+    rows = ops.positioned(values, ["v"], "i").collect()
     assert all(int(r.v) == r.i for r in rows) and len(rows) == 1000
 
 

@@ -86,7 +86,7 @@ def same_lists(found, expected):
         assert [s for _, s in pairs] == pytest.approx([s for _, s in expected[item]], abs=2e-9)
 
 
-@pytest.mark.parametrize("blocks", [(256, 4096), (8, 16)])
+@pytest.mark.parametrize("blocks", [(256, 4096, 8), (8, 16, 1000), (8, 16, 0), (8, 40, 0)])
 @pytest.mark.parametrize(
     "weights, n, low, normalise, mode",
     [
@@ -99,11 +99,15 @@ def same_lists(found, expected):
 def test_lists_against_brute_force(features, rows, monkeypatch, blocks, weights, n, low, normalise, mode):
     monkeypatch.setattr(ops, "MIN_BLOCK", blocks[0])
     monkeypatch.setattr(ops, "MAX_BLOCK", blocks[1])
+    monkeypatch.setattr(ops, "PRUNE_FROM", blocks[2])
     found = ops.top_neighbours(features, (weights,), n, low, normalise, mode)
     same_lists(lists_of(found), expected_lists(rows, weights, n, low, normalise, mode))
 
 
-def test_all_schemes_in_one_run(features, rows):
+@pytest.mark.parametrize("prune_from", [8, 0])
+def test_all_schemes_in_one_run(features, rows, monkeypatch, prune_from):
+    monkeypatch.setattr(ops, "PRUNE_FROM", prune_from)
+    monkeypatch.setattr(ops, "MAX_BLOCK", 4096 if prune_from else 20)
     found = ops.top_neighbours(features, WEIGHT_SCHEMES, 5, 0.0, True, "concat").cache()
     for scheme in WEIGHT_SCHEMES:
         lists = lists_of(found.filter(F.col("scheme") == scheme.name))
