@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+from akin.operators.ranks import values_at_ranks
 
 
 def genre_counts(items: DataFrame, n: int = 20) -> DataFrame:
@@ -45,66 +45,19 @@ def value_counts(items: DataFrame, column: str, top: int | None = None) -> DataF
 
 
 def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> list[float | None]:
-    """Exact quantiles with linear interpolation, without sorting or gathering the values.
-
-    Each pass counts the values of the open intervals in equal buckets and narrows each wanted rank
-    to one bucket, until a bucket holds a single value. A pass brings back bucket counts only.
-    """
+    """Exact quantiles with linear interpolation; nulls and NaN are left out."""
     value = F.col(column).cast("double")
     clean = df.select(value.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    n, low, high = clean.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    n = clean.count()
     if n == 0:
         return [None] * len(probabilities)
     at = [p * (n - 1) for p in probabilities]
     ranks = sorted({r for a in at for r in (math.floor(a), math.ceil(a))})
-    solved: dict[int, float] = {}
-    # Open intervals: (low, high) -> values below low, ranks inside.
-    open_intervals = {(low, high): (0, ranks)}
-    while open_intervals:
-        pending = {}
-        for (lo, hi), (before, inside) in open_intervals.items():
-            if lo == hi:
-                solved.update(dict.fromkeys(inside, lo))
-            else:
-                pending[(lo, hi)] = (before, inside)
-        if not pending:
-            break
-        open_intervals = {}
-        keys = list(pending)
-        interval = F.coalesce(
-            *(F.when(F.col("v").between(lo, hi), F.lit(i)) for i, (lo, hi) in enumerate(keys))
-        )
-        bucket = F.coalesce(
-            *(
-                F.when(
-                    F.col("i") == i,
-                    F.least(
-                        F.floor((F.col("v") - lo) / max((hi - lo) / BUCKETS, 5e-324)), F.lit(BUCKETS - 1)
-                    ),
-                )
-                for i, (lo, hi) in enumerate(keys)
-            )
-        )
-        counts = (
-            clean.withColumn("i", interval)
-            .filter(F.col("i").isNotNull())
-            .groupBy("i", bucket.alias("b"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-            .orderBy("i", "lo")
-            .collect()
-        )
-        for i, key in enumerate(keys):
-            before, inside = pending[key]
-            for row in (r for r in counts if r.i == i):
-                here = [r for r in inside if before <= r < before + row.n]
-                if here:
-                    open_intervals[(row.lo, row.hi)] = (before, here)
-                before += row.n
-    out = []
-    for a in at:
-        lo, hi = solved[math.floor(a)], solved[math.ceil(a)]
-        out.append(lo + (hi - lo) * (a - math.floor(a)))
-    return out
+    value_at = dict(zip(ranks, values_at_ranks(clean, "v", ranks)))
+    return [
+        value_at[math.floor(a)] + (value_at[math.ceil(a)] - value_at[math.floor(a)]) * (a % 1.0)
+        for a in at
+    ]
 
 
 def describe(df: DataFrame, columns: dict[str, Column]) -> DataFrame:

@@ -3,12 +3,9 @@
 1. Items with the same features form one profile. Scores only depend on the features, so profiles
    are scored instead of items; of a group of copies, however large, the `top_n + 1` smallest ids
    are all that can ever be listed.
-2. Profiles are put into blocks of bounded size. A group is one block of asking rows and one block of
-   targets, scored with two matrix products; only the best partners of each row leave the task.
-3. With many blocks, blocks are cut along the genres and each is scored against itself first. The
-   last place of a row's list is then a floor: a block whose best possible score is below the floors
-   of the asking rows is never sent, and a row below its floor is skipped. Nothing is lost by that.
-4. The results of a profile are merged, spelled out into items, and given to its members.
+2. Profiles are hashed into blocks of bounded size. Each unordered pair of blocks is one group and
+   is scored with a matrix product; only the best partners of each row leave the task.
+3. The results of a profile are merged, spelled out into items, and given to its members.
 """
 
 from __future__ import annotations
@@ -21,12 +18,10 @@ from pyspark.sql import functions as F
 
 from akin.config import Weights
 from akin.operators import pairmath
-from akin.operators.features import positioned
 from akin.sources.scratch import written
 
-MIN_BLOCK, MAX_BLOCK = 256, 4096
+MIN_BLOCK, MAX_BLOCK = 256, 8192
 MAX_TASKS = 100_000
-PRUNE_FROM = 8  # blocks; below that a bound costs more than it saves
 
 _PAYLOAD = (
     "genres",
@@ -83,14 +78,15 @@ def counted_profiles(keyed: DataFrame) -> DataFrame:
 def block_count(n_rows: int, parallelism: int) -> int:
     """Enough blocks to bound their size, and enough block pairs to keep all cores busy."""
     for_memory = math.ceil(n_rows / MAX_BLOCK)
-    for_cores = math.ceil(math.sqrt(4 * parallelism))
+    for_cores = math.ceil(math.sqrt(8 * parallelism))
     return max(1, for_memory, min(for_cores, math.ceil(n_rows / MIN_BLOCK)))
 
 
 def block_pairs(profiles: DataFrame, columns: list[str], n_rows: int):
     """Rows grouped by unordered pair of blocks; each row goes to the pairs of its block."""
     n_blocks = block_count(n_rows, profiles.sparkSession.sparkContext.defaultParallelism)
-    n_tasks = min(n_blocks * (n_blocks + 1) // 2, MAX_TASKS)
+    # Some more tasks than groups, or a few groups would often meet in one task.
+    n_tasks = min(2 * n_blocks * (n_blocks + 1), MAX_TASKS)
     block = F.pmod(F.xxhash64("rep"), F.lit(n_blocks)).cast("int")
     return (
         profiles.select(*columns, block.alias("block"))
@@ -143,12 +139,13 @@ def top_neighbours(
     mixes = tuple(w.effective(normalise) for w in schemes)
     keyed = with_profile(features)
     profiles = written(distinct_profiles(keyed, top_n + 1), "profiles")
-    rules = (mixes, top_n, min_similarity, metadata_mode)
-    n_profiles = profiles.count()
-    if n_profiles > PRUNE_FROM * MAX_BLOCK and min(map(min, mixes)) >= 0:
-        found = _found_with_bounds(profiles, n_profiles, *rules)
-    else:
-        found = _found_in_all(profiles, n_profiles, *rules)
+    groups = block_pairs(profiles, ["rep", "copies", "heads", *_PAYLOAD], profiles.count())
+    best_of = pairmath.best_of_blocks
+
+    def score(table, lo, hi):
+        return best_of(table, lo, hi, mixes, top_n, min_similarity, metadata_mode)
+
+    found = grouped_in_arrow(groups, _FOUND, score)
     # Both branches below read the lists, and scoring must not run again when an executor is lost.
     lists = written(_merged(found, top_n + 1), "lists")
 
@@ -165,139 +162,6 @@ def top_neighbours(
     return _listed(alone.select(*columns).union(shared.select(*columns)), top_n, schemes)
 
 
-def _found_in_all(profiles, n_profiles, mixes, top_n, low, mode) -> DataFrame:
-    """Every block asks every block."""
-    spark = profiles.sparkSession
-    n_blocks = block_count(n_profiles, spark.sparkContext.defaultParallelism)
-    block = F.pmod(F.xxhash64("rep"), F.lit(n_blocks)).cast("long")
-    rows = profiles.withColumn("block", block).withColumn(
-        "floors", F.array(*(F.lit(float(low)) for _ in mixes))
-    )
-    pairs = spark.range(n_blocks).select(
-        F.col("id").alias("q"), F.explode(_all_blocks(n_blocks)).alias("t")
-    )
-    asking = rows.withColumn("home", F.lit(-1).cast("long"))
-    return _scored(asking, rows, pairs, n_blocks * n_blocks, mixes, top_n, mode, seeded=False)
-
-
-def _all_blocks(n_blocks: int) -> Column:
-    return F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))
-
-
-def _found_with_bounds(profiles, n_profiles, mixes, top_n, low, mode) -> DataFrame:
-    """Each block asks itself, and then the blocks that can still improve one of its lists."""
-    spark = profiles.sparkSession
-    n_blocks = math.ceil(n_profiles / MAX_BLOCK)
-
-    def blocked(df: DataFrame, order: list[str]) -> DataFrame:
-        placed = positioned(df.withColumn("_genres", F.array_join("genres", "\t")), order, "_at")
-        block = F.floor(F.col("_at") / MAX_BLOCK).cast("long")
-        return written(placed.withColumn("block", block).drop("_genres", "_at"), "blocked")
-
-    alike = ["_genres", "language_bucket", "platform_bucket", "type", "rep"]
-    targets = blocked(profiles, alike)
-    lowest = F.array(*(F.lit(float(low)) for _ in mixes))
-    first = targets.withColumn("floors", lowest).withColumn("home", F.lit(-1).cast("long"))
-    diagonal = spark.range(n_blocks).select(F.col("id").alias("q"), F.col("id").alias("t"))
-    seeds = written(
-        _scored(first, targets, diagonal, n_blocks, mixes, top_n, mode, seeded=False), "seeds"
-    )
-
-    asking = _with_floors(targets, seeds, mixes, top_n, low).withColumn(
-        "_need", F.round(F.least(*_needs(mixes)), 1)
-    )
-    # Rows that need much less than their block would have others sent to it for nothing.
-    asking = blocked(asking.withColumnRenamed("block", "home"), ["_need", *alike]).drop("_need")
-    pairs = written(_pairs_within_reach(asking, targets, n_blocks, mixes, mode), "pairs")
-    later = _scored(asking, targets, pairs, pairs.count(), mixes, top_n, mode, seeded=True)
-    return seeds.union(later)
-
-
-def _with_floors(targets, seeds, mixes, top_n, low) -> DataFrame:
-    """Rows with the score of the last place of their list so far, per scheme; `low` if not full."""
-    full = (
-        seeds.filter(F.col("other") != F.col("rep"))
-        .groupBy("rep")
-        .agg(
-            *(
-                F.when(F.count_if(F.col("scheme") == i) >= top_n,
-                       F.min(F.when(F.col("scheme") == i, F.col("score")))).alias(f"_f{i}")
-                for i in range(len(mixes))
-            )
-        )
-    )
-    floors = F.array(*(F.coalesce(f"_f{i}", F.lit(float(low))) for i in range(len(mixes))))
-    rows = targets.join(full, "rep", "left").withColumn("floors", floors)
-    return rows.drop(*(f"_f{i}" for i in range(len(mixes))))
-
-
-def _needs(mixes) -> list[Column]:
-    """What genre and metadata have to bring for a row to reach its floor, per scheme."""
-    text = (F.size("term_ids") > 0).cast("double")
-    needs = [F.get("floors", F.lit(i)) - F.lit(float(m[1])) * text for i, m in enumerate(mixes)]
-    return needs if len(needs) > 1 else needs * 2
-
-
-def _digest(rows: DataFrame, more: list[Column]) -> DataFrame:
-    """What occurs in each block; a block is bounded, and so are its sets."""
-    return rows.groupBy("block").agg(
-        F.array_distinct(F.flatten(F.collect_set("genres"))).alias("genres"),
-        F.coalesce(F.min(F.when(F.size("genres") > 0, F.size("genres"))), F.lit(1)).alias("least"),
-        F.collect_set("platform_bucket").alias("platforms"),
-        F.collect_set("type").alias("types"),
-        F.collect_set("language_bucket").alias("languages"),
-        *more,
-    )
-
-
-def _pairs_within_reach(asking, targets, n_blocks, mixes, mode) -> DataFrame:
-    """(q, t) for the target blocks that a row of the asking block may find a neighbour in."""
-    needs = [
-        F.min(need).alias(f"need{i}") for i, (need, _) in enumerate(zip(_needs(mixes), mixes))
-    ]
-    a = _digest(asking, needs).select(
-        "*", F.explode(_all_blocks(n_blocks)).alias("t")
-    )
-    b = _digest(targets, [])
-    b = b.select(*(F.col(c).alias("t" if c == "block" else f"b_{c}") for c in b.columns))
-    shared = F.size(F.array_intersect("genres", "b_genres"))
-    genre = F.least(F.lit(1.0), shared / F.sqrt(F.col("least") * F.col("b_least")))
-    matches = sum(
-        (F.arrays_overlap(c, f"b_{c}").cast("double") for c in ("platforms", "types", "languages")),
-        start=F.lit(0.0),
-    )
-    metadata = F.least(F.lit(1.0), matches / (3.0 if mode == "mean" else 2.0))
-    reachable = F.lit(False)
-    for i, (g, _, m) in enumerate(mixes):
-        best = F.lit(float(g)) * genre + F.lit(float(m)) * metadata + pairmath.MARGIN
-        reachable = reachable | (best >= F.col(f"need{i}"))
-    return a.join(b, "t").filter(reachable).select(F.col("block").alias("q"), "t")
-
-
-def _scored(asking, targets, pairs, n_pairs, mixes, top_n, mode, seeded) -> DataFrame:
-    """Send asking rows and targets to the pairs of their blocks, and score each pair in a task."""
-    columns = ["rep", "copies", "heads", *_PAYLOAD]
-    asks = asking.join(pairs, F.col("block") == F.col("q")).select(
-        "q", "t", F.lit(True).alias("asks"), "home", "floors", *columns
-    )
-    offers = targets.join(pairs, F.col("block") == F.col("t")).select(
-        "q",
-        "t",
-        F.lit(False).alias("asks"),
-        F.lit(-1).cast("long").alias("home"),
-        F.array().cast("array<double>").alias("floors"),
-        *columns,
-    )
-    n_tasks = max(1, min(n_pairs, MAX_TASKS))
-    groups = asks.union(offers).repartition(n_tasks, "q", "t").groupBy("q", "t")
-    best_of = pairmath.best_of
-
-    def score(table, q, t):
-        return best_of(table, t, mixes, top_n, mode, seeded)
-
-    return grouped_in_arrow(groups, _FOUND, score)
-
-
 def _merged(found: DataFrame, n: int) -> DataFrame:
     """The `n` best items for each profile, as one ordered array per profile and scheme."""
     best = Window.partitionBy("scheme", "rep").orderBy(F.desc("score"), "other")

@@ -13,24 +13,39 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SCALE = 1_000_000_000  # scores are ranked at nine decimals
-ROWS_AT_ONCE = 512
+# Rows scored at once against a whole block: in single precision, and in full.
+ROUGH_ROWS, FULL_ROWS = 2048, 128
 
 
 class Block:
     """Dense views of the packed rows of one block, in the order of `rep`."""
 
-    def __init__(self, table: pa.Table, n_genres: int, n_terms: int):
-        self.table = table
+    def __init__(self, table: pa.Table, n_genres: int, n_terms: int, widths: dict[str, int]):
         self.n = table.num_rows
         self.rep = table["rep"].to_numpy()
         self.copies = table["copies"].to_numpy()
+        self.heads = table["heads"].combine_chunks() if "heads" in table.column_names else None
         self.platform = table["platform_bucket"].to_numpy()
         self.language = table["language_bucket"].to_numpy()
         self.type = table["type_code"].to_numpy()
         genres = self._dense(table["genre_codes"], None, n_genres)
-        self.n_genres = genres.sum(axis=1)
-        self.genres = genres / np.sqrt(np.maximum(self.n_genres, 1))[:, None]
+        self.genres = genres / np.sqrt(np.maximum(genres.sum(axis=1), 1))[:, None]
         self.text = self._dense(table["term_ids"], table["weights"], n_terms)
+        self.category = np.hstack(
+            [
+                (codes[:, None] == np.arange(widths[name])).astype(float)
+                for name, codes in (
+                    ("platform_code", table["platform_code"].to_numpy()),
+                    ("type_code", self.type),
+                    ("language_code", table["language_code"].to_numpy()),
+                )
+            ]
+        )
+
+    def parts(self, mode: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Vectors whose dot products are the genre, text and metadata cosines."""
+        entries = 3.0 if mode == "mean" else self.category.sum(axis=1, keepdims=True)
+        return self.genres, self.text, self.category / np.sqrt(entries)
 
     def _dense(self, ids, weights, width: int) -> np.ndarray:
         ids = ids.combine_chunks()
@@ -43,30 +58,32 @@ class Block:
         return out
 
 
-def split(table: pa.Table, column: str, values: tuple) -> list[Block]:
-    """One block per value of `column`, with genres and types numbered alike in all of them."""
+def blocks_of(table: pa.Table, lo: int, hi: int) -> tuple[Block, Block]:
+    """The two blocks of a group, with genres and types numbered alike in both."""
     table = table.sort_by("rep").combine_chunks()
     genres = table["genres"].combine_chunks()
     codes = genres.flatten().dictionary_encode()
     # The offsets may belong to a slice of a longer array; flatten() starts at the first row.
     offsets = pc.subtract(genres.offsets, genres.offsets[0]) if len(genres) else genres.offsets
     table = table.append_column("genre_codes", pa.ListArray.from_arrays(offsets, codes.indices))
-    types = table["type"].combine_chunks().dictionary_encode()
-    table = table.append_column("type_code", pc.fill_null(types.indices, -1))
+    widths = {}
+    for column, code in (
+        ("platform_bucket", "platform_code"),
+        ("type", "type_code"),
+        ("language_bucket", "language_code"),
+    ):
+        values = table[column].combine_chunks().dictionary_encode()
+        table = table.append_column(code, pc.fill_null(values.indices, -1))
+        widths[code] = len(values.dictionary)
     terms = table["term_ids"].combine_chunks().flatten()
     n_terms = int(pc.max(terms).as_py()) + 1 if len(terms) else 1
-    return [
-        Block(table.filter(pc.equal(table[column], v)), len(codes.dictionary), n_terms) for v in values
-    ]
 
+    def block(number: int) -> Block:
+        rows = table.filter(pc.equal(table["block"], number))
+        return Block(rows, len(codes.dictionary), n_terms, widths)
 
-def blocks_of(table: pa.Table, lo: int, hi: int) -> tuple[Block, Block]:
-    """The two blocks of an unordered pair."""
-    if lo == hi:
-        only = split(table, "block", (lo,))[0]
-        return only, only
-    first, second = split(table, "block", (lo, hi))
-    return first, second
+    first = block(lo)
+    return first, first if lo == hi else block(hi)
 
 
 def agreement(a: Block, rows, b: Block, cols, mode: str) -> np.ndarray:
@@ -95,94 +112,98 @@ def units(score: np.ndarray) -> np.ndarray:
     return np.rint(score * SCALE).astype(np.int64)
 
 
-def row_chunks(n: int):
-    return (slice(at, min(at + ROWS_AT_ONCE, n)) for at in range(0, n, ROWS_AT_ONCE))
-
+def row_chunks(n: int, size: int):
+    return (slice(at, min(at + size, n)) for at in range(0, n, size))
 
-MARGIN = 2e-9  # keeps a bound safe from rounding
 
+def best_of_blocks(table, lo, hi, schemes, top_n, low, mode):
+    """The best `top_n` partners of each row in the other block, and the row's own copies if any.
 
-def best_of(table, target, schemes, top_n, mode, seeded):
-    """The best `top_n` targets of each asking row, and the row itself when it has copies.
-
-    A row brings the lowest score that still matters to it, per scheme. Without seeds that is the
-    threshold, and a better floor comes from the scores themselves. A tie goes to the smaller id.
+    One product in single precision finds the few pairs that can be among the best, along rows and
+    along columns; those are then scored in full. A tie goes to the smaller id.
     """
-    asking = table.filter(pc.and_(table["asks"], pc.not_equal(table["home"], target)))
-    offered = table.filter(pc.invert(table["asks"]))
-    if asking.num_rows == 0 or offered.num_rows == 0:
+    a, b = blocks_of(table, lo, hi)
+    if a.n == 0 or b.n == 0:
         return None
-    a, b = split(pa.concat_tables([asking, offered]), "asks", (True, False))
-    heads = b.table["heads"].combine_chunks()
-    floors = a.table["floors"].combine_chunks().flatten().to_numpy().reshape(a.n, len(schemes))
-    within_reach = np.flatnonzero((ceilings(a, b, schemes) >= floors).any(axis=1))
+    right = np.hstack(b.parts(mode)).astype(np.float32).T
     found = []
-    for at in range(0, len(within_reach), ROWS_AT_ONCE):
-        rows = within_reach[at : at + ROWS_AT_ONCE]
-        genre, text = a.genres[rows] @ b.genres.T, a.text[rows] @ b.text.T
-        for scheme, weights in enumerate(schemes):
-            row, col, score, metadata = _best(
-                a, rows, b, genre, text, weights, floors[rows, scheme], top_n, mode, seeded
-            )
-            found.append(
-                pa.table(
-                    {
-                        "scheme": pa.array(np.full(len(row), scheme, dtype=np.int32)),
-                        "rep": pa.array(a.rep[rows[row]]),
-                        "copies": pa.array(a.copies[rows[row]]),
-                        "other": pa.array(b.rep[col]),
-                        "score": pa.array(score / SCALE),
-                        "genre_score": pa.array(genre[row, col]),
-                        "text_score": pa.array(text[row, col]),
-                        "metadata_score": pa.array(metadata),
-                        "heads": heads.take(pa.array(col)),
-                    }
-                )
-            )
-    return pa.concat_tables(found) if found else None
-
-
-def ceilings(a: Block, b: Block, schemes) -> np.ndarray:
-    """An upper bound of the score of each row of `a` against any row of `b`, per scheme.
-
-    Shared genres are at most those that occur in `b`; a dot product is at most the one with the
-    largest weight that each term has in `b`.
-    """
-    if min(min(w) for w in schemes) < 0:
-        return np.full((a.n, len(schemes)), np.inf)
-    sizes = b.n_genres[b.n_genres > 0]
-    smallest = sizes.min() if len(sizes) else 1.0
-    shared = (a.genres > 0).astype(float) @ (b.genres > 0).any(axis=0).astype(float)
-    genre = np.minimum(1.0, shared / np.sqrt(np.maximum(a.n_genres, 1) * smallest))
-    text = np.minimum(1.0, a.text @ b.text.max(axis=0))
-    return np.stack([g * genre + t * text + m for g, t, m in schemes], axis=1) + MARGIN
-
-
-def _best(a, rows, b, genre, text, weights, floor, top_n, mode, seeded):
+    for scheme, weights in enumerate(schemes):
+        left = np.hstack([w * part for w, part in zip(weights, a.parts(mode))]).astype(np.float32)
+        # More than single precision can lose in a sum of that many products of unit vectors.
+        margin = 1e-6 * left.shape[1] * sum(map(abs, weights))
+        rules = (scheme, weights, top_n, low, mode)
+        column_reach, column_hits = np.full(b.n, float(low)), []
+        for rows in row_chunks(a.n, ROUGH_ROWS):
+            rough = left[rows] @ right
+            if lo == hi:
+                rough[np.arange(len(rough)), np.arange(rows.start, rows.stop)] = -np.inf
+            reach = np.maximum(low, nth_at_least(rough, top_n, axis=1)) - margin
+            row, col = np.nonzero(rough >= reach[:, None].astype(np.float32))
+            row += rows.start
+            if lo == hi:
+                copied = np.arange(rows.start, rows.stop)[a.copies[rows] > 1]
+                row, col = np.concatenate([row, copied]), np.concatenate([col, copied])
+            else:
+                column_reach = np.maximum(column_reach, nth_at_least(rough, top_n, axis=0))
+                at, hit = np.nonzero(rough >= (column_reach - margin).astype(np.float32))
+                column_hits.append((at + rows.start, hit, rough[at, hit]))
+            found.append(_best(a, row, b, col, *rules))
+        if column_hits:
+            at, hit, value = (np.concatenate(x) for x in zip(*column_hits))
+            # The reach has risen since the first rows were seen.
+            still = value >= (column_reach - margin).astype(np.float32)[hit]
+            found.append(_best(b, hit[still], a, at[still], *rules))
+    return pa.concat_tables(found)
+
+
+def nth_at_least(scores: np.ndarray, n: int, axis: int) -> np.ndarray:
+    """A lower bound of the n-th largest value along an axis: that of the maxima of groups."""
+    width = scores.shape[axis]
+    if width <= n:
+        return np.full(scores.shape[1 - axis], -np.inf)
+    groups = min(width, max(4 * n, 64))
+    tops = np.maximum.reduceat(scores, np.arange(groups) * width // groups, axis=axis)
+    tops = np.ascontiguousarray(tops if axis == 1 else tops.T)
+    return np.partition(tops, groups - n, axis=1)[:, groups - n].astype(float)
+
+
+def _best(a, row, b, col, scheme, weights, top_n, low, mode):
+    """Full scores of candidate pairs, and the best of each row of `a` as a table."""
+    genre, text = pairwise(a.genres, row, b.genres, col), pairwise(a.text, row, b.text, col)
+    metadata = agreement(a, row, b, col, mode)
     g, t, m = weights
-    partial = g * genre + t * text
-    own_col = np.minimum(np.searchsorted(b.rep, a.rep[rows]), b.n - 1)
-    own_row = np.flatnonzero(b.rep[own_col] == a.rep[rows])
-    own_col = own_col[own_row]
-    partial[own_row, own_col] = -np.inf
-    reach = floor
-    if not seeded and b.n > top_n:
-        # Metadata adds between min(m, 0) and max(m, 0) to every partial score.
-        nth = np.partition(partial, b.n - top_n, axis=1)[:, b.n - top_n]
-        reach = np.maximum(floor, nth + min(m, 0.0))
-    row, col = np.nonzero(partial >= (reach - max(m, 0.0) - MARGIN)[:, None])
-    copied = a.copies[rows[own_row]] > 1
-    row = np.concatenate([row, own_row[copied]])
-    col = np.concatenate([col, own_col[copied]])
-    metadata = agreement(a, rows[row], b, col, mode)
-    score = units(g * genre[row, col] + t * text[row, col] + m * metadata)
-    itself = b.rep[col] == a.rep[rows[row]]
+    score = units(g * genre + t * text + m * metadata)
+    itself = a.rep[row] == b.rep[col]
     order = np.lexsort((col, -score, itself, row))
-    order = order[score[order] / SCALE >= floor[row[order]]]
-    line = row[order]
-    start = np.searchsorted(line, line)
+    order = order[score[order] / SCALE >= low]
+    start = np.searchsorted(row[order], row[order])
     order = order[(np.arange(len(order)) - start < top_n) | itself[order]]
-    return row[order], col[order], score[order], metadata[order]
+    row, col = row[order], col[order]
+    return pa.table(
+        {
+            "scheme": pa.array(np.full(len(row), scheme, dtype=np.int32)),
+            "rep": pa.array(a.rep[row]),
+            "copies": pa.array(a.copies[row]),
+            "other": pa.array(b.rep[col]),
+            "score": pa.array(score[order] / SCALE),
+            "genre_score": pa.array(genre[order]),
+            "text_score": pa.array(text[order]),
+            "metadata_score": pa.array(metadata[order]),
+            "heads": b.heads.take(pa.array(col)),
+        }
+    )
+
+
+def pairwise(a: np.ndarray, row: np.ndarray, b: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Dot products of chosen rows of `a` and `b`, gathered into two small buffers."""
+    out, step = np.empty(len(row)), 256
+    left, right = np.empty((step, a.shape[1])), np.empty((step, b.shape[1]))
+    for at in range(0, len(row), step):
+        n = min(step, len(row) - at)
+        np.take(a, row[at : at + n], axis=0, out=left[:n], mode="clip")
+        np.take(b, col[at : at + n], axis=0, out=right[:n], mode="clip")
+        out[at : at + n] = np.einsum("ij,ij->i", left[:n], right[:n])
+    return out
 
 
 NAMES = ("genre", "text", "metadata", "hybrid")
@@ -195,7 +216,7 @@ def scored_rows(table, lo, hi, weights, mode):
     one block only pairs above the diagonal count, and the diagonal for pairs of copies.
     """
     left, right = blocks_of(table, lo, hi)
-    for rows in row_chunks(left.n):
+    for rows in row_chunks(left.n, FULL_ROWS):
         parts = components(left, rows, right, mode)
         mixed = sum(w * part for w, part in zip(weights, parts))
         count = np.outer(left.copies[rows].astype(float), right.copies.astype(float))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from akin.functions.numeric import nan_to_null
 from akin.functions.text import clean_html
+from akin.operators.ranks import values_at_ranks
 from akin.schemas import CATALOG, RAW_ITEM
 
 
@@ -26,28 +27,43 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
+SMALL_LIMIT = 100_000  # rows that one task may keep for an ordered limit
+
+
 def capped(items: DataFrame, page_size: int = 100, max_items: int | None = None) -> DataFrame:
-    """The first items by id, rounded up to whole pages; no cap when `max_items` is 0 or None."""
+    """The first items by id, rounded up to whole pages; no cap when `max_items` is 0 or None.
+
+    Ids are unique. A large cap is a filter on the id found at that rank, not an ordered limit.
+    """
     if page_size < 1:
         raise ValueError("page_size must be positive")
     if not max_items:
         return items
-    return items.orderBy("id").limit(math.ceil(max_items / page_size) * page_size)
+    cap = math.ceil(max_items / page_size) * page_size
+    if cap <= SMALL_LIMIT:
+        return items.orderBy("id").limit(cap)
+    last = values_at_ranks(items, "id", [cap - 1])[0]
+    return items if last is None else items.filter(F.col("id") <= last)
 
 
 def page(items: DataFrame, offset: int = 0, limit: int = 100) -> DataFrame:
     """One page by id, each row with the size of the catalog and the page bounds."""
     total = items.agg(F.count(F.lit(1))).scalar()
-    return (
-        items.orderBy("id")
-        .offset(offset)
-        .limit(limit)
-        .select(
-            "*",
-            total.alias("total"),
-            F.lit(offset).cast("long").alias("offset"),
-            F.lit(limit).cast("long").alias("limit"),
-        )
+    if offset + limit <= SMALL_LIMIT:
+        rows = items.orderBy("id").offset(offset).limit(limit)
+    else:
+        first, last = values_at_ranks(items, "id", [offset, offset + limit - 1])
+        rows = items.filter(F.lit(first is not None))
+        if first is not None:
+            rows = rows.filter(F.col("id") >= first)
+        if last is not None:
+            rows = rows.filter(F.col("id") <= last)
+        rows = rows.orderBy("id")
+    return rows.select(
+        "*",
+        total.alias("total"),
+        F.lit(offset).cast("long").alias("offset"),
+        F.lit(limit).cast("long").alias("limit"),
     )
 
 
@@ -143,15 +159,21 @@ def _child_parts(
 def _with_child_parts(
     parents: DataFrame, parts: DataFrame, key: str, count_name: str
 ) -> DataFrame:
+    """Parents joined to the parts of their children; `_values` is null for the childless.
+
+    An inner join and an anti join instead of one outer join: AQE can split the many parts of a hot
+    parent in an inner join, but not the right side of a left join.
+    """
     counts = parts.groupBy("_parent").agg(F.sum("_rows_in_part").alias(count_name))
+    counted = parents.join(counts, F.col(key) == F.col("_parent"), "left").drop("_parent")
+    some = counted.filter(F.col(count_name).isNotNull()).join(
+        parts.drop("_rows_in_part"), F.col(key) == F.col("_parent")
+    )
+    none = counted.filter(F.col(count_name).isNull()).withColumn(count_name, F.lit(0).cast("long"))
     return (
-        parents.join(counts, F.col(key) == F.col("_parent"), "left")
-        .drop("_parent")
-        .join(parts.drop("_rows_in_part"), F.col(key) == F.col("_parent"), "left")
-        .drop("_parent")
-        .withColumn(count_name, F.coalesce(count_name, F.lit(0)))
-        .withColumn("part", F.coalesce("_part", F.lit(0)))
-        .drop("_part")
+        some.drop("_parent")
+        .withColumnRenamed("_part", "part")
+        .unionByName(none.withColumn("part", F.lit(0).cast("long")), allowMissingColumns=True)
     )
 
 

@@ -14,13 +14,17 @@ def items(spark):
     return raw(spark, [{"id": i, "name": f"n{i}"} for i in range(100, 0, -1)])
 
 
+@pytest.mark.parametrize("small", [100_000, 0])
 @pytest.mark.parametrize("cap, n", [(15, 20), (20, 20), (1, 10), (0, 100), (None, 100), (500, 100)])
-def test_a_cap_is_rounded_up_to_whole_pages(items, cap, n):
+def test_a_cap_is_rounded_up_to_whole_pages(items, monkeypatch, small, cap, n):
+    monkeypatch.setattr(catalog, "SMALL_LIMIT", small)
     found = catalog.capped(items, 10, cap)
     assert sorted(r.id for r in found.collect()) == list(range(1, n + 1))
 
 
-def test_page(items):
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_page(items, monkeypatch, small):
+    monkeypatch.setattr(catalog, "SMALL_LIMIT", small)
     rows = catalog.page(items, offset=95, limit=10).collect()
     assert [r.id for r in rows] == [96, 97, 98, 99, 100]
     assert {(r.total, r["offset"], r["limit"]) for r in rows} == {(100, 95, 10)}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from akin.functions.numeric import nan_to_null
 from akin.operators import explore, quality
+from akin.operators.ranks import values_at_ranks
 
 
 def numbers(spark, values):
@@ -32,6 +33,13 @@ def test_exact_quantiles(spark, name):
     assert found == pytest.approx(list(np.quantile(values, wanted)))
 
 
+def test_ranks_of_long_whole_numbers(spark):
+    values = [2**62 + i * i for i in range(300)] + [-(2**60)] * 40
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    asked = [0, 39, 40, 41, 200, 339, 340, 10_000]
+    assert values_at_ranks(df, "v", asked) == [*(sorted(values)[r] for r in asked[:6]), None, None]
+
+
 def test_quantiles_of_nothing(spark):
     assert explore.exact_quantiles(numbers(spark, [None]), "v", (0.5,)) == [None]
 

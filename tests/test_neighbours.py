@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from akin.config import WEIGHT_SCHEMES, Weights
 from akin.operators import neighbours as ops
-from akin.operators import serve
+from akin.operators import pairmath, serve
 from akin.operators.pair_stats import PairScores
 
 SCHEMA = (
@@ -86,7 +86,8 @@ def same_lists(found, expected):
         assert [s for _, s in pairs] == pytest.approx([s for _, s in expected[item]], abs=2e-9)
 
 
-@pytest.mark.parametrize("blocks", [(256, 4096, 8), (8, 16, 1000), (8, 16, 0), (8, 40, 0)])
+@pytest.mark.parametrize("rough_rows", [512, 40])
+@pytest.mark.parametrize("blocks", [(256, 4096), (8, 16), (8, 100)])
 @pytest.mark.parametrize(
     "weights, n, low, normalise, mode",
     [
@@ -96,18 +97,19 @@ def same_lists(found, expected):
         (Weights(2, 3, 1), 3, 2.5, False, "concat"),
     ],
 )
-def test_lists_against_brute_force(features, rows, monkeypatch, blocks, weights, n, low, normalise, mode):
+def test_lists_against_brute_force(
+    features, rows, monkeypatch, rough_rows, blocks, weights, n, low, normalise, mode
+):
+    monkeypatch.setattr(pairmath, "ROUGH_ROWS", rough_rows)
     monkeypatch.setattr(ops, "MIN_BLOCK", blocks[0])
     monkeypatch.setattr(ops, "MAX_BLOCK", blocks[1])
-    monkeypatch.setattr(ops, "PRUNE_FROM", blocks[2])
     found = ops.top_neighbours(features, (weights,), n, low, normalise, mode)
     same_lists(lists_of(found), expected_lists(rows, weights, n, low, normalise, mode))
 
 
-@pytest.mark.parametrize("prune_from", [8, 0])
-def test_all_schemes_in_one_run(features, rows, monkeypatch, prune_from):
-    monkeypatch.setattr(ops, "PRUNE_FROM", prune_from)
-    monkeypatch.setattr(ops, "MAX_BLOCK", 4096 if prune_from else 20)
+@pytest.mark.parametrize("max_block", [4096, 20])
+def test_all_schemes_in_one_run(features, rows, monkeypatch, max_block):
+    monkeypatch.setattr(ops, "MAX_BLOCK", max_block)
     found = ops.top_neighbours(features, WEIGHT_SCHEMES, 5, 0.0, True, "concat").cache()
     for scheme in WEIGHT_SCHEMES:
         lists = lists_of(found.filter(F.col("scheme") == scheme.name))
