@@ -181,8 +181,8 @@ def fit_terms(words: DataFrame, params: FeatureParams = FeatureParams()) -> Data
 def text_vectors(words: DataFrame, vocab: DataFrame) -> DataFrame:
     """Packed TF-IDF rows (id, term_ids, tfs, weights) of the items that hold a known term.
 
-    The vocabulary is bounded by `max_terms`, hence the broadcast. An item's terms leave the row
-    they came from already combined, so only one packed row per item is shuffled.
+    An item's terms leave the row they came from already combined, and the vocabulary is broadcast
+    when it is small, so only one packed row per item is shuffled.
     """
     terms = F.concat("words", bigrams(F.col("words")))
     known = [row.term for row in vocab.select("term").limit(MAX_LISTED + 1).collect()]
@@ -190,7 +190,7 @@ def text_vectors(words: DataFrame, vocab: DataFrame) -> DataFrame:
         terms = F.filter(terms, lambda t: t.isin(*known))
     ordered = words.select("id", F.sort_array(terms).alias("_terms"))
     hits = run_lengths(ordered, "id", "_terms", "term").join(
-        F.broadcast(vocab.select("term", "term_id", "idf")), "term"
+        small(vocab.select("term", "term_id", "idf"), len(known)), "term"
     )
     weight = F.col("tf") * F.col("idf")
     packed = hits.groupBy("id").agg(
@@ -225,12 +225,9 @@ def genre_multihot(items: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def with_bucket(items: DataFrame, column: str, ranks: DataFrame, n: int, bucket: str) -> DataFrame:
-    """Add the rank of the value among the top `n`; anything else, null included, is bucket `n`.
-
-    `ranks` has at most `n` rows, hence the broadcast.
-    """
-    small = F.broadcast(ranks.select(F.col("value").alias(column), F.col("rank").alias(bucket)))
-    return items.join(small, column, "left").withColumn(bucket, F.coalesce(bucket, F.lit(n)))
+    """Add the rank of the value among the top `n`; anything else, null included, is bucket `n`."""
+    top = small(ranks.select(F.col("value").alias(column), F.col("rank").alias(bucket)), n)
+    return items.join(top, column, "left").withColumn(bucket, F.coalesce(bucket, F.lit(n)))
 
 
 def platform_onehot(items: DataFrame, ranks: DataFrame, n: int = 20) -> DataFrame:
@@ -281,6 +278,11 @@ def extract(items: DataFrame, params: FeatureParams = FeatureParams()) -> Featur
     return FeatureSet(written(packed, "items"), genres, terms, platforms, types, languages)
 
 
+def small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Hint at a broadcast when the number of rows is known to be small; else leave the choice."""
+    return F.broadcast(df) if max_rows <= MAX_LISTED else df
+
+
 def _none(element: str) -> Column:
     return F.array().cast(f"array<{element}>")
 
@@ -374,7 +376,7 @@ def feature_sums(features: FeatureSet, params: FeatureParams = FeatureParams())
         )
 
     def labelled(column: str, ranks: DataFrame, top: int) -> DataFrame:
-        names = F.broadcast(ranks.select(F.col("rank").alias(column), F.col("value")))
+        names = small(ranks.select(F.col("rank").alias(column), F.col("value")), top)
         return features.items.select(column).join(names, column, "left").select(
             F.when(F.col(column) == top, F.lit("(other)")).otherwise(F.col("value")).alias("feature")
         )
@@ -407,6 +409,6 @@ def top_terms(vectors: DataFrame, vocab: DataFrame, n: int = 10) -> DataFrame:
     return (
         vectors.select("id", F.posexplode(best).alias("pos", "b"))
         .select("id", (F.col("pos") + 1).cast("long").alias("rank"), "b.term_id", "b.weight")
-        .join(F.broadcast(vocab.select("term_id", "term")), "term_id")
+        .join(vocab.select("term_id", "term"), "term_id")
         .select("id", "rank", "term", "weight")
     )

@@ -24,7 +24,9 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/akin/{label}-{uuid.uuid4().hex}"
+    """A new path in the folder of this application, which may go when the application has ended."""
+    folder = f"{scratch_root(spark)}/akin/{spark.sparkContext.applicationId}"
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
