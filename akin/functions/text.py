@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from functools import lru_cache
 
@@ -16,6 +15,8 @@ TAG = r"<[^>]+>"
 # A Hangul syllable decomposes into several letters, so one alone is already a token.
 TOKEN = r"[\p{L}\p{N}_]{2,}|[\x{AC00}-\x{D7A3}]"
 
+LAST_WITH_A_BASE = 0x2FFFF  # no character beyond has a decomposition or is a combining mark
+
 # The English stop words that Apache Spark ships.
 STOP_WORD_TEXT = """
 i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her
@@ -39,7 +40,7 @@ STOP_WORDS = tuple(sorted(set(re.findall(r"\w\w+", STOP_WORD_TEXT))))
 def accent_map() -> tuple[str, str]:
     """(from, to) for `translate`: letters to their base letter; combining marks are dropped."""
     source, target, dropped = [], [], []
-    for code in range(128, sys.maxunicode + 1):
+    for code in range(128, LAST_WITH_A_BASE + 1):
         char = chr(code)
         if unicodedata.combining(char):
             dropped.append(char)

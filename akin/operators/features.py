@@ -256,8 +256,7 @@ def extract(items: DataFrame, params: FeatureParams = FeatureParams()) -> Featur
     terms = fit_terms(words, params)
     platforms = written(top_categories(items, "platform", params.top_platforms), "platforms")
     languages = written(top_categories(items, "language", params.top_languages), "languages")
-    types = written(type_vocab(items), "types")
-    genres = written(genre_vocab(items), "genres")
+    types, genres = type_vocab(items), genre_vocab(items)
 
     base = items.select("id", "genres", "platform", "type", "language")
     base = with_bucket(base, "platform", platforms, params.top_platforms, "platform_bucket")

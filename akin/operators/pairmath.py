@@ -15,6 +15,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SCALE = 1_000_000_000  # scores are ranked at nine decimals
 # Rows scored at once against a whole block: in single precision, and in full.
 ROUGH_ROWS, FULL_ROWS = 2048, 128
+COARSE_BITS = 15  # a coarse bucket holds 2^15 scores
 
 
 class Block:
@@ -232,62 +233,71 @@ def scored_rows(table, lo, hi, weights, mode):
 
 def moments(table, lo, hi, weights, mode):
     """Count, sum and sum of squares by coarse bucket, and the range, of each component."""
-    out = []
+    sums = {name: np.zeros((3, 0)) for name in NAMES}
+    low, high = dict.fromkeys(NAMES, np.inf), dict.fromkeys(NAMES, -np.inf)
     for name, score, count in scored_rows(table, lo, hi, weights, mode):
         used = slice(None) if lo != hi else count > 0
         k, n = score[used].ravel(), count[used].ravel()
         if len(k) == 0:
             continue
-        s, coarse = k / SCALE, k >> 15
-        sums = [np.bincount(coarse, w) for w in (n, n * s, n * s * s)]
-        found = np.flatnonzero(sums[0])
+        s, coarse = k / SCALE, k >> COARSE_BITS
+        width = max(sums[name].shape[1], int(coarse.max()) + 1)
+        more = np.stack([np.bincount(coarse, w, width) for w in (n, n * s, n * s * s)])
+        more[:, : sums[name].shape[1]] += sums[name]
+        sums[name] = more
+        low[name], high[name] = min(low[name], s.min()), max(high[name], s.max())
+    out = []
+    for name in NAMES:
+        found = np.flatnonzero(sums[name][0]) if sums[name].size else np.array([], dtype=int)
         out.append(
             pa.table(
                 {
-                    "component": [name] * len(found),
+                    "component": pa.array([name] * len(found), pa.string()),
                     "bucket": found.astype(np.int64),
-                    "n": sums[0][found],
-                    "total": sums[1][found],
-                    "squares": sums[2][found],
-                    "low": np.full(len(found), s.min()),
-                    "high": np.full(len(found), s.max()),
+                    "n": sums[name][0][found],
+                    "total": sums[name][1][found],
+                    "squares": sums[name][2][found],
+                    "low": np.full(len(found), low[name]),
+                    "high": np.full(len(found), high[name]),
                 }
             )
         )
-    return pa.concat_tables(out) if out else None
+    return pa.concat_tables(out)
 
 
 def exact_counts(table, lo, hi, weights, mode, wanted):
     """Pairs at each exact score inside the wanted coarse buckets of each component."""
-    out = []
+    hits = {name: ([], []) for name in NAMES}
     for name, score, count in scored_rows(table, lo, hi, weights, mode):
-        used = (count > 0) & np.isin(score >> 15, wanted[name])
-        if used.any():
-            value, at = np.unique(score[used], return_inverse=True)
-            out.append(
-                pa.table(
-                    {
-                        "component": [name] * len(value),
-                        "value": value,
-                        "n": np.bincount(at, count[used], len(value)),
-                    }
-                )
+        used = (count > 0) & np.isin(score >> COARSE_BITS, wanted[name])
+        hits[name][0].append(score[used])
+        hits[name][1].append(count[used])
+    out = []
+    for name, (scores, counts) in hits.items():
+        scores = np.concatenate(scores) if scores else np.array([], dtype=np.int64)
+        value, at = np.unique(scores, return_inverse=True)
+        n = np.bincount(at, np.concatenate(counts), len(value)) if len(value) else np.array([])
+        out.append(
+            pa.table(
+                {
+                    "component": pa.array([name] * len(value), pa.string()),
+                    "value": value.astype(np.int64),
+                    "n": n.astype(float),
+                }
             )
-    return pa.concat_tables(out) if out else None
+        )
+    return pa.concat_tables(out)
 
 
 def binned(table, lo, hi, weights, mode, edges, bins):
     """Pairs in each of `bins` equal bins between the given (low, high) of each component."""
-    out = []
+    sums = {name: np.zeros(bins) for name in NAMES}
     for name, score, count in scored_rows(table, lo, hi, weights, mode):
         low, high = edges[name]
         at = np.floor((score / SCALE - low) * bins / (high - low)).astype(np.int64)
         at = np.clip(at, 0, bins - 1)
-        used = count > 0
-        n = np.bincount(at[used], count[used], bins)
-        out.append(
-            pa.table(
-                {"component": [name] * bins, "bin": np.arange(bins, dtype=np.int64), "n": n}
-            )
-        )
-    return pa.concat_tables(out) if out else None
+        sums[name] += np.bincount(at.ravel(), count.ravel(), bins)
+    return pa.concat_tables(
+        pa.table({"component": [name] * bins, "bin": np.arange(bins, dtype=np.int64), "n": n})
+        for name, n in sums.items()
+    )

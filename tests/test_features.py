@@ -147,3 +147,11 @@ def test_top_terms_are_the_heaviest(spark, items):
     _, vectors = expected_terms(items.collect(), 30, 2, 0.8)
     best = sorted(vectors[7].items(), key=lambda x: (-round(x[1], 9), x[0]))[:3]
     assert [(r.rank, r.term) for r in rows] == [(i + 1, t) for i, (t, _) in enumerate(best)]
+
+
+def test_the_plan_reads_only_what_it_needs(spark, tmp_path, items):
+    items.write.parquet(f"{tmp_path}/c")
+    stored = spark.read.parquet(f"{tmp_path}/c")
+    plan = ops.top_categories(stored, "platform", 5)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<platform:string>" in plan and "IsNotNull(platform)" in plan
+    assert "TakeOrderedAndProject" in plan
