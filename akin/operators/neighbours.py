@@ -23,7 +23,7 @@ from akin.sources.scratch import written
 MIN_BLOCK, MAX_BLOCK = 256, 8192
 MAX_TASKS = 100_000
 
-_PAYLOAD = (
+PAYLOAD = (
     "genres",
     "platform_bucket",
     "type",
@@ -60,7 +60,7 @@ def distinct_profiles(keyed: DataFrame, n_heads: int) -> DataFrame:
         .agg(
             F.min("id").alias("rep"),
             F.sort_array(F.collect_list("id")).alias("heads"),
-            *(F.any_value(c).alias(c) for c in _PAYLOAD),
+            *(F.any_value(c).alias(c) for c in PAYLOAD),
         )
         .withColumn("copies", F.size("heads").cast("long"))
     )
@@ -71,7 +71,7 @@ def counted_profiles(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("profile").agg(
         F.min("id").alias("rep"),
         F.count(F.lit(1)).alias("copies"),
-        *(F.any_value(c).alias(c) for c in _PAYLOAD),
+        *(F.any_value(c).alias(c) for c in PAYLOAD),
     )
 
 
@@ -139,7 +139,7 @@ def top_neighbours(
     mixes = tuple(w.effective(normalise) for w in schemes)
     keyed = with_profile(features)
     profiles = written(distinct_profiles(keyed, top_n + 1), "profiles")
-    groups = block_pairs(profiles, ["rep", "copies", "heads", *_PAYLOAD], profiles.count())
+    groups = block_pairs(profiles, ["rep", "copies", "heads", *PAYLOAD], profiles.count())
     best_of = pairmath.best_of_blocks
 
     def score(table, lo, hi):
