@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from akin.sources.scratch import written
 
 #: Bits of a membership bitmap; it is the same size for any number of keys.
 BITMAP_BITS = 1 << 24
-_BUCKET_BITS = 1 << 15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,33 +59,19 @@ def _slot(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS)) + 1
 
 
-def bitmap(keys: DataFrame, column: str) -> np.ndarray:
-    """A fixed-size bitmap of hashed keys: a key that is in is always found, others seldom.
+def in_bitmap(df: DataFrame, column: str, keys: DataFrame, key: str, name: str) -> DataFrame:
+    """`df` with a flag `name`: true for all rows whose `column` is a `key` of `keys`, and a few others.
 
-    At most BITMAP_BITS / 8 bytes come to the driver, however many keys there are.
+    The keys become a bitmap of BITMAP_BITS hashed bits, in rows of 4 KB. It is the same size for any
+    number of keys, so it can be broadcast; nothing else of `df` moves. Nulls are keys like others.
     """
-    slots = keys.select(_slot(F.col(column)).alias("slot"))
-    parts = (
-        slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-        .collect()
+    slots = keys.select(_slot(F.col(key)).alias("slot"))
+    bits = slots.groupBy(F.bitmap_bucket_number("slot").alias("__bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("__bits")
     )
-    bits = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
-    for row in parts:
-        start = (row["bucket"] - 1) * (_BUCKET_BITS // 8)
-        raw = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
-        bits[start : start + len(raw)] = raw
-    return bits
-
-
-def in_bitmap(spark: SparkSession, bits: np.ndarray) -> Callable[[Column], Column]:
-    """A test of a key column against a bitmap, which executors get once."""
-    shared = spark.sparkContext.broadcast(bits)
-
-    @pandas_udf("boolean")
-    def hit(slots: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in slots:
-            at = s.to_numpy(dtype=np.int64) - 1
-            yield pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
-
-    return lambda key: hit(_slot(key))
+    marked = df.withColumn("__slot", _slot(F.col(column)))
+    joined = marked.join(F.broadcast(bits), F.bitmap_bucket_number("__slot") == F.col("__bucket"), "left")
+    at = F.bitmap_bit_position("__slot").cast("int")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, at % 8).bitwiseAND(F.lit(1))
+    return joined.withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop("__slot", "__bucket", "__bits")

@@ -6,12 +6,12 @@ coordinates of their points, so an R-tree over points prunes whole boxes whose s
 
 Points alone do not tell shards apart, as random texts have much the same counts. The shards come from
 the same idea, made exact: sets that link differ in at most `d` shingles; cut the hash range into
-`d + 1` token groups, and at least one group holds the very same shingles in both. A document goes to
+more than `d` token groups, and at least one group holds the very same shingles in both. A document goes to
 one shard for each of its groups, named by the group's content. Sizes are cut into bands so that both
 sides use the same groups.
 
 Hot shards: copies are one node from the start. In each shard every node is first compared with the
-smallest one only; what these links connect needs no further comparison. Only nodes of different
+smallest and the largest one only; what these links connect needs no further comparison. Only nodes of different
 components meet in the R-trees, whose groups are cut to a bounded size, all pairs of cuts included.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from akin.llm.common import bitmap, in_bitmap
+from akin.llm.common import in_bitmap
 from akin.llm.components import components
 from akin.sources.scratch import written
 
@@ -38,11 +38,19 @@ _MASK = (1 << 64) - 1
 
 @dataclass(frozen=True)
 class JoinParams:
-    """Shingle width, threshold in hundredths, coordinates of a point, rows of one tree."""
+    """Shingle width, threshold in hundredths, fewest coordinates of a point, rows of a cut and a leaf.
+
+    Counts of long texts differ by less of their size, so points of longer texts get more coordinates:
+    the power of two from `share` of the size on. Two points are compared at the coarser one's grid.
+    A first round verifies the `first` best pairs of a node only; what that connects, the round over all
+    pairs can skip.
+    """
 
     words: int = 4
     percent: int = 85
     groups: int = 64
+    share: float = 0.6
+    first: int = 4
     cut: int = 2048
     leaf: int = 32
 
@@ -103,7 +111,12 @@ class Bands:
 
 
 def shard_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """One key per token group, for the schemes of the own band and of the next one up."""
+    """One key per token group, for the schemes of the own band and of the next one up.
+
+    Linked sets agree in all but `d` of the groups at most. There are some spare groups, so that empty
+    ones, in which unlike sets agree as well, can go without a key: of the `1 + spare` groups that agree,
+    one is not empty, unless both sets have more empty groups than that; such sets give all keys.
+    """
     out = []
     own = bands.band(len(s))
     mixed = _mixed(s ^ np.uint64(0xA5A5A5A55A5A5A5A))
@@ -111,13 +124,17 @@ def shard_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
         d = bands.differ(scheme)
         if d == 0:
             continue
-        m = d + 1
+        spare = 1 + d // 40
+        m = d + 1 + spare
         group = np.minimum((s.astype(np.float64) * (m / 2.0**64)).astype(np.int64), m - 1)
         content = np.zeros(m, np.uint64)
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         content[group[starts]] = np.add.reduceat(mixed, starts)
+        filled = np.bincount(group, minlength=m) > 0
+        if m - filled.sum() > spare:
+            filled[:] = True
         label = np.arange(m, dtype=np.uint64) + np.uint64((scheme + 1) << 32)
-        out.append(_mixed(_mixed(label) + content))
+        out.append(_mixed(_mixed(label) + content)[filled])
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
@@ -131,11 +148,10 @@ def node_of(s: np.ndarray) -> int:
 
 def signatures(docs: DataFrame, params: JoinParams) -> DataFrame:
     """doc_id, n, node (null for an empty set), point, keys. A task gives a node's keys once."""
-    words, groups, percent = params.words, params.groups, params.percent
+    words, percent = params.words, params.percent
 
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache, seen, bands = _Hashes(), set(), Bands(percent)
-        shift = np.uint64(64 - int(math.log2(groups)))
         for frame in frames:
             for at in range(0, len(frame), 500):
                 rows = []
@@ -151,9 +167,7 @@ def signatures(docs: DataFrame, params: JoinParams) -> DataFrame:
                         continue
                     if len(seen) < 1_000_000:
                         seen.add(node)
-                    coordinate = (_mixed(s) >> shift).astype(np.int64)
-                    point = np.bincount(coordinate, minlength=groups).astype(np.uint32)
-                    rows.append((len(s), node, point.tobytes(), shard_keys(s, bands)))
+                    rows.append((len(s), node, point_of(s, params), shard_keys(s, bands)))
                 out = pd.DataFrame(rows, columns=["n", "node", "point", "keys"])
                 out["node"] = out["node"].astype("Int64")
                 out.insert(0, "doc_id", part["doc_id"].to_numpy())
@@ -165,16 +179,47 @@ def signatures(docs: DataFrame, params: JoinParams) -> DataFrame:
     )
 
 
-def _overlap(groups: int):
+def point_of(s: np.ndarray, params: JoinParams) -> bytes:
+    bits = max(params.groups.bit_length() - 1, math.ceil(math.log2(max(1.0, params.share * len(s)))))
+    coordinate = (_mixed(s) >> np.uint64(64 - bits)).astype(np.int64)
+    counts = np.bincount(coordinate, minlength=1 << bits)
+    # The first byte says how many bytes a count takes.
+    kind = "<u1" if counts.max() < 256 else "<u4"
+    return bytes([int(kind[-1])]) + counts.astype(kind).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1)
+
+
+def folded(raw, width: int) -> np.ndarray:
+    """Points of equal length as rows of `width` coordinates: neighbouring groups are added up."""
+    x = np.stack([_unpacked(p) for p in raw])
+    return x.reshape(len(raw), width, -1).sum(axis=2, dtype=np.int64)
+
+
+def _width(raw: bytes) -> int:
+    return (len(raw) - 1) // raw[0]
+
+
+def most_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of the smaller coordinates of points (arrays of bytes), pair by pair."""
+    out = np.zeros(len(a), np.int64)
+    shapes = np.array([[_width(x), _width(y)] for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
+    for shape in np.unique(shapes, axis=0):
+        rows = np.flatnonzero((shapes == shape).all(axis=1))
+        width = int(shape.min())
+        for part in np.array_split(rows, -(-len(rows) * width // 4_000_000)):
+            out[part] = np.minimum(folded(a[part], width), folded(b[part], width)).sum(axis=1)
+    return out
+
+
+def _overlap(a: Column, b: Column) -> Column:
     @pandas_udf("long")
-    def most_shared(a: pd.Series, b: pd.Series) -> pd.Series:
-        if not len(a):
-            return pd.Series([], dtype="int64")
-        x = np.frombuffer(b"".join(map(bytes, a)), np.uint32).reshape(-1, groups)
-        y = np.frombuffer(b"".join(map(bytes, b)), np.uint32).reshape(-1, groups)
-        return pd.Series(np.minimum(x, y).sum(axis=1).astype(np.int64))
+    def shared(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(most_shared(x.map(bytes).to_numpy(object), y.map(bytes).to_numpy(object)))
 
-    return most_shared
+    return shared(a, b)
 
 
 def _enough(shared: Column, n_a: Column, n_b: Column, percent: int) -> Column:
@@ -185,7 +230,7 @@ class CountTree:
     """A packed R-tree over points; a box keeps its largest coordinates and its smallest set size."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, comps: np.ndarray, leaf: int):
-        self.points, self.sizes, self.comps = points.astype(np.int64), sizes, comps
+        self.points, self.sizes, self.comps = points, sizes, comps
         self.boxes: list[tuple] = []
         self.root = self._build(np.argsort(sizes, kind="stable"), leaf)
 
@@ -204,7 +249,7 @@ class CountTree:
         return len(self.boxes) - 1
 
     def search(self, points, sizes, comps, percent: int):
-        """Index pairs (query, row) of different components whose bound on the overlap is enough."""
+        """(query, row, bound) of different components whose bound on the overlap is enough."""
         found = []
         stack = [(self.root, np.arange(len(sizes)))]
         while stack:
@@ -226,66 +271,150 @@ class CountTree:
                 shared = np.minimum(points[q], self.points[r]).sum(axis=1)
                 ok = (shared * (100 + percent) >= (sizes[q] + self.sizes[r]) * percent) & (comps[q] != self.comps[r])
                 if ok.any():
-                    found.append((q[ok], np.full(int(ok.sum()), r)))
+                    found.append((q[ok], np.full(int(ok.sum()), r), shared[ok]))
         if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            return tuple(np.zeros(0, np.int64) for _ in range(3))
+        return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
+
 
+def _best(query: np.ndarray, bound: np.ndarray, limit: int | None) -> np.ndarray:
+    """The rows to keep: all, or the `limit` largest bounds of each query."""
+    if limit is None or not len(query):
+        return np.arange(len(query))
+    order = np.lexsort((-bound, query))
+    first = np.flatnonzero(np.r_[True, query[order][1:] != query[order][:-1]])
+    nth = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+    return order[nth < limit]
 
-def _tree_pairs(params: JoinParams):
-    percent, leaf, groups = params.percent, params.leaf, params.groups
+
+def _tree_pairs(params: JoinParams, limit: int | None):
+    percent, leaf = params.percent, params.leaf
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by shard and cut pair; a group has at most two cuts of rows."""
 
         def solve(group: pd.DataFrame):
-            points = np.frombuffer(b"".join(map(bytes, group["point"])), np.uint32).reshape(-1, groups).astype(np.int64)
+            raw = group["point"].map(bytes).to_numpy(object)
+            lengths = np.array([_width(p) for p in raw])
+            points = np.zeros((len(raw), lengths.min()), np.int64)
+            for length in np.unique(lengths):
+                points[lengths == length] = folded(raw[lengths == length], points.shape[1])
             sizes, comps = group["n"].to_numpy(np.int64), group["label"].to_numpy(np.int64)
             nodes, own = group["node"].to_numpy(np.int64), group["cut"].to_numpy(np.int64)
             left, right = own == group["i"].iloc[0], own == group["j"].iloc[0]
             if not left.any() or not right.any():
                 return None
             tree = CountTree(points[left], sizes[left], comps[left], leaf)
-            q, r = tree.search(points[right], sizes[right], comps[right], percent)
+            q, r, bound = tree.search(points[right], sizes[right], comps[right], percent)
+            kept = _best(q, bound, limit)
+            q, r = q[kept], r[kept]
             a, b = nodes[left][r], nodes[right][q]
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
             return pd.DataFrame(pairs, columns=["a", "b"])
 
+        def leaves(frame: pd.DataFrame, starts: np.ndarray, ends: np.ndarray):
+            """Groups that fit one leaf need no boxes: all of them at once, by distance in the group."""
+            size = ends - starts
+            rows = np.repeat(starts, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            last = np.repeat(ends, size)
+            part = frame.iloc[rows]
+            points = part["point"].map(bytes).to_numpy(object)
+            sizes, comps = part["n"].to_numpy(np.int64), part["label"].to_numpy(np.int64)
+            nodes = part["node"].to_numpy(np.int64)
+            found = []
+            for step in range(1, max(2, int(size.max()))):
+                x = np.flatnonzero(rows + step < last)
+                y = x + step
+                low, high = np.minimum(sizes[x], sizes[y]), np.maximum(sizes[x], sizes[y])
+                fits = (comps[x] != comps[y]) & (100 * low >= percent * high)
+                x, y = x[fits], y[fits]
+                shared = most_shared(points[x], points[y])
+                ok = shared * (100 + percent) >= (sizes[x] + sizes[y]) * percent
+                found.append((x[ok], y[ok], shared[ok]))
+            x, y, bound = (np.concatenate([f[i] for f in found]) for i in range(3))
+            kept = _best(x, bound, limit)
+            a, b = nodes[x[kept]], nodes[y[kept]]
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+        def every(frame: pd.DataFrame, starts: np.ndarray, ends: np.ndarray):
+            """Groups up to a leaf together, larger ones each with a tree."""
+            small = (ends - starts <= leaf) & (frame["i"].to_numpy()[starts] == frame["j"].to_numpy()[starts])
+            if small.any():
+                yield from leaves(frame, starts[small], ends[small])
+            for start, end in zip(starts[~small], ends[~small], strict=True):
+                if (out := solve(frame.iloc[start:end])) is not None:
+                    yield out
+
         held = None
         for frame in frames:
             if held is not None:
                 frame = pd.concat([held, frame], ignore_index=True)
-            change = (frame[["key", "i", "j"]].shift() != frame[["key", "i", "j"]]).any(axis=1).to_numpy()
-            starts = np.flatnonzero(change)
-            for k, start in enumerate(starts[:-1]):
-                if (out := solve(frame.iloc[start : starts[k + 1]])) is not None:
-                    yield out
-            held = frame.iloc[starts[-1] :] if len(starts) else None
-        if held is not None and len(held) and (out := solve(held)) is not None:
-            yield out
+            if not len(frame):
+                continue
+            names = frame[["key", "i", "j"]].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]).any(axis=1)])
+            yield from every(frame, starts[:-1], starts[1:])
+            held = frame.iloc[starts[-1] :].reset_index(drop=True)
+        if held is not None:
+            yield from every(held, np.array([0]), np.array([len(held)]))
 
     return search
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, params: JoinParams) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, params: JoinParams) -> DataFrame:
     """Pairs (a, b) of nodes whose shingle sets really link."""
-    words, percent = params.words, params.percent
+    percent = params.percent
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, last, last_set = _Hashes(), None, None
         for frame in frames:
             keep = []
-            for a, ta, tb in zip(frame["a"], frame["text_a"], frame["text_b"], strict=True):
-                if a != last:
-                    last, last_set = a, shingle_set(ta, words, cache)
-                other = shingle_set(tb, words, cache)
-                shared = len(np.intersect1d(last_set, other, assume_unique=True))
-                keep.append(shared * (100 + percent) >= (len(last_set) + len(other)) * percent)
+            for raw_a, raw_b in zip(frame["set_a"], frame["set_b"], strict=True):
+                a, b = np.frombuffer(raw_a, np.uint64), np.frombuffer(raw_b, np.uint64)
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(shared * (100 + percent) >= (len(a) + len(b)) * percent)
             yield frame.loc[keep, ["a", "b"]]
 
-    second = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    both = second.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long")
+    second = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
+    both = second.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
+    return both.select("a", "b", "set_a", "set_b").mapInPandas(check, "a long, b long")
+
+
+def _across(shards: DataFrame, points: DataFrame, label: DataFrame, params: JoinParams, limit: int | None) -> DataFrame:
+    """Pairs of a shard's nodes that are of different components and pass the bound, by the trees.
+
+    With a limit each node gives no more than that many pairs to each tree it is looked up in.
+    """
+    shard = Window.partitionBy("key")
+    # The pairs with a shard's smallest and largest node are judged by now, so these can go; a shard whose other nodes
+    # are one component has nothing left, and of shards with the same nodes one is enough.
+    others = shards.filter("node <> head and node <> last").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    others = others.select("key", "node", "label")
+    open_ = (
+        others.groupBy("key")
+        .agg(
+            F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("count"),
+            F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+        )
+        .filter("low <> high").groupBy("count", "x", "y").agg(F.min("key").alias("key"))
+    )
+    mixed = others.join(open_.select("key"), "key", "semi")
+    order = shard.orderBy("n", "node")
+    cuts = (
+        mixed.select("key", "node", "label").join(points, "node")
+        .withColumn("cut", F.floor((F.row_number().over(order) - 1) / params.cut).cast("int"))
+        .withColumn("cuts", F.max("cut").over(shard) + 1)
+    )
+    pair = F.transform(
+        F.sequence(F.lit(0), F.col("cuts") - 1),
+        lambda k: F.struct(F.least(k, F.col("cut")).alias("i"), F.greatest(k, F.col("cut")).alias("j")),
+    )
+    dealt = (
+        cuts.select("key", "node", "label", "n", "point", "cut", F.explode(pair).alias("pair"))
+        .select("key", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "cut", "node", "label", "n", "point")
+        .repartition("key", "i", "j")
+        .sortWithinPartitions("key", "i", "j")
+    )
+    return written(dealt.mapInPandas(_tree_pairs(params, limit), "a long, b long").distinct(), "cross")
 
 
 def linked(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
@@ -309,46 +438,27 @@ def linked(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     shards = written(
         spread.select("key", "node", F.min("node").over(shard).alias("head"), F.max("node").over(shard).alias("last"))
         .filter("head <> last")
-        .select("key", "node", "head")
         .distinct(),
         "shards",
     )
     points = nodes.select("node", "n", "point")
     stars = (
-        shards.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+        shards.select(F.explode(F.array("head", "last")).alias("a"), F.col("node").alias("b")).filter("a <> b")
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         .join(points.toDF("b", "n_b", "point_b"), "b")
         .join(points.toDF("a", "n_a", "point_a"), "a")
     )
-    shared = _overlap(params.groups)(F.col("point_a"), F.col("point_b"))
+    shared = _overlap(F.col("point_a"), F.col("point_b"))
     stars = stars.withColumn("shared", shared).filter(_enough(F.col("shared"), F.col("n_a"), F.col("n_b"), percent))
-    texts = _texts(docs, nodes, shards.select("node").distinct(), params)
-    first = written(_verified(stars.select("a", "b"), texts, params), "stars")
+    stars = written(stars.select("a", "b"), "stars")
+    first = written(_verified(stars, _sets(docs, nodes, _ends(stars), params), params), "links")
     label = written(components(first), "labels")
 
-    named = shards.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = named.select(
-        "key", "node", "label",
-        F.min("label").over(shard).alias("low"), F.max("label").over(shard).alias("high"),
-    ).filter("low <> high")
-    order = shard.orderBy("n", "node")
-    cuts = (
-        mixed.select("key", "node", "label").join(points, "node")
-        .withColumn("cut", F.floor((F.row_number().over(order) - 1) / params.cut).cast("int"))
-        .withColumn("cuts", F.max("cut").over(shard) + 1)
-    )
-    pair = F.transform(
-        F.sequence(F.lit(0), F.col("cuts") - 1),
-        lambda k: F.struct(F.least(k, F.col("cut")).alias("i"), F.greatest(k, F.col("cut")).alias("j")),
-    )
-    dealt = (
-        cuts.select("key", "node", "label", "n", "point", "cut", F.explode(pair).alias("pair"))
-        .select("key", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "cut", "node", "label", "n", "point")
-        .repartition("key", "i", "j")
-        .sortWithinPartitions("key", "i", "j")
-    )
-    cross = dealt.mapInPandas(_tree_pairs(params), "a long, b long").distinct()
-    second = written(_verified(cross, texts, params), "cross")
-    label = components(first.union(second))
+    for limit in (params.first, None):
+        cross = _across(shards, points, label, params, limit)
+        more = _verified(cross, _sets(docs, nodes, _ends(cross), params), params)
+        first = written(first.union(more), "links")
+        label = written(components(first), "labels")
 
     roots = nodes.join(label, "node", "left").select(
         "node", F.coalesce("label", "node").alias("label"), F.col("doc_id").alias("first_id")
@@ -360,6 +470,10 @@ def linked(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     return out.select("doc_id", "n_shingles", "node", component.alias("component_id"))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
 def _node_udf(words: int):
     @pandas_udf("long")
     def node(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -371,18 +485,30 @@ def _node_udf(words: int):
     return node
 
 
-def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, params: JoinParams) -> DataFrame:
-    """One text for each wanted node; a bitmap of ids keeps all other texts out of the shuffle."""
-    spark = docs.sparkSession
+def _set_rows(words: int):
+    def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = _Hashes()
+        for frame in frames:
+            for at in range(0, len(frame), 200):
+                part = frame.iloc[at : at + 200]
+                found = [shingle_set(t, words, cache) for t in part["text"]]
+                nodes = pd.Series([node_of(s) if len(s) else None for s in found], dtype="Int64")
+                ids = part["id"].astype("Int64").reset_index(drop=True)
+                yield pd.DataFrame({"id": ids, "of": nodes, "shingles": [s.tobytes() for s in found]})
+
+    return sets
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, params: JoinParams) -> DataFrame:
+    """The shingle set of each wanted node; a bitmap of ids keeps all other texts out of the shuffle."""
     where = written(nodes.join(wanted, "node", "semi").select("node", "doc_id"), "wanted")
-    hit = in_bitmap(spark, bitmap(where, "doc_id"))
     some = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    some = some.filter("text is not null").filter(hit(F.col("id")))
-    some = some.withColumn("of", _node_udf(params.words)(F.col("text")))
+    some = in_bitmap(some.filter("text is not null"), "id", where, "doc_id", "hit").filter("hit").select("id", "text")
+    some = some.mapInPandas(_set_rows(params.words), "id long, of long, shingles binary")
     found = some.join(where, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("of") == F.col("node")))
-    row = Window.partitionBy("node", "doc_id").orderBy("text")
+    row = Window.partitionBy("node", "doc_id").orderBy("of")
     one = found.withColumn("row", F.row_number().over(row)).filter("row = 1")
-    return written(one.select("node", "text"), "texts")
+    return written(one.select("node", "shingles"), "sets")
 
 
 def one_of_each(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
@@ -390,7 +516,6 @@ def one_of_each(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame
 
     Rows without shingles stay. Of fully repeated rows one stays. Untouched rows are never shuffled.
     """
-    spark = docs.sparkSession
     rows = written(linked(docs, params).filter("node is not null"), "linked")
     pairs = rows.groupBy("component_id", "doc_id", "node").agg(F.count(F.lit(1)).alias("copies"))
     best = pairs.groupBy("component_id").agg(
@@ -401,8 +526,7 @@ def one_of_each(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame
         (F.col("best.id").eqNullSafe(F.col("doc_id")) & (F.col("best.node") == F.col("node"))).alias("__stays"),
     )
     touched = written(judged.filter("copies > 1 or not __stays").select("__id", "__of", "__stays"), "touched")
-    hit = in_bitmap(spark, bitmap(touched, "__id"))
-    marked = docs.withColumn("__hit", hit(F.col("doc_id")))
+    marked = in_bitmap(docs.withColumn("__key", F.col("doc_id").cast("long")), "__key", touched, "__id", "__hit").drop("__key")
     rest = marked.filter("not __hit").drop("__hit")
     some = marked.filter("__hit").drop("__hit").withColumn("__node", _node_udf(params.words)(F.col("text")))
     seen = some.join(touched, some["doc_id"].eqNullSafe(touched["__id"]) & (some["__node"] == touched["__of"]), "left")
