@@ -168,15 +168,17 @@ def signatures(docs: DataFrame, params: JoinParams) -> DataFrame:
                     if len(seen) < 1_000_000:
                         seen.add(node)
                     rows.append((len(s), node, point_of(s, params), shard_keys(s, bands)))
-                out = pd.DataFrame(rows, columns=["n", "node", "point", "keys"])
-                out["node"] = out["node"].astype("Int64")
-                out.insert(0, "doc_id", part["doc_id"].to_numpy())
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
-        sign, "doc_id long, n long, node long, point binary, keys array<long>"
+                n, node, point, keys = zip(*rows, strict=True)
+                yield pd.DataFrame(
+                    {"id": part["id"].to_numpy(), "n": n, "node": pd.Series(node, dtype="Int64"), "point": point, "keys": keys}
+                )
+
+    # Ids go as text: pandas would turn whole numbers with nulls among them into fractions.
+    ids = F.col("doc_id").cast("long").cast("string").alias("id")
+    signed = docs.select(ids, F.col("text").cast("string").alias("text")).mapInPandas(
+        sign, "id string, n long, node long, point binary, keys array<long>"
     )
+    return signed.select(F.col("id").cast("long").alias("doc_id"), "n", "node", "point", "keys")
 
 
 def point_of(s: np.ndarray, params: JoinParams) -> bytes:
@@ -493,8 +495,7 @@ def _set_rows(words: int):
                 part = frame.iloc[at : at + 200]
                 found = [shingle_set(t, words, cache) for t in part["text"]]
                 nodes = pd.Series([node_of(s) if len(s) else None for s in found], dtype="Int64")
-                ids = part["id"].astype("Int64").reset_index(drop=True)
-                yield pd.DataFrame({"id": ids, "of": nodes, "shingles": [s.tobytes() for s in found]})
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "of": nodes, "shingles": [s.tobytes() for s in found]})
 
     return sets
 
@@ -503,8 +504,9 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, params: JoinPara
     """The shingle set of each wanted node; a bitmap of ids keeps all other texts out of the shuffle."""
     where = written(nodes.join(wanted, "node", "semi").select("node", "doc_id"), "wanted")
     some = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    some = in_bitmap(some.filter("text is not null"), "id", where, "doc_id", "hit").filter("hit").select("id", "text")
-    some = some.mapInPandas(_set_rows(params.words), "id long, of long, shingles binary")
+    some = in_bitmap(some.filter("text is not null"), "id", where, "doc_id", "hit").filter("hit")
+    some = some.select(F.col("id").cast("string").alias("id"), "text")
+    some = some.mapInPandas(_set_rows(params.words), "id string, of long, shingles binary").withColumn("id", F.col("id").cast("long"))
     found = some.join(where, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("of") == F.col("node")))
     row = Window.partitionBy("node", "doc_id").orderBy("of")
     one = found.withColumn("row", F.row_number().over(row)).filter("row = 1")

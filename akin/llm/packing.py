@@ -16,7 +16,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from akin.llm.common import with_running
 from akin.sources.scratch import written
@@ -130,7 +129,7 @@ def tokenized(docs: DataFrame, params: PackParams) -> DataFrame:
                     bags[i] = np.bincount((spread % np.uint64(params.hashed)).astype(np.int64), minlength=params.hashed)
                 yield pd.DataFrame(
                     {
-                        "doc_id": part["doc_id"].astype("Int64").to_numpy(),
+                        "doc_id": part["doc_id"].to_numpy(),
                         "ids": ids,
                         "n": [len(raw) // width for raw in ids],
                         "width": width,
@@ -138,8 +137,11 @@ def tokenized(docs: DataFrame, params: PackParams) -> DataFrame:
                     }
                 )
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInPandas(encode, "doc_id long, ids binary, n long, width int, curve long")
+    # Ids go as text: pandas would turn whole numbers with nulls among them into fractions.
+    ids = F.col("doc_id").cast("long").cast("string").alias("doc_id")
+    chosen = docs.select(ids, F.col("text").cast("string").alias("text"))
+    coded = chosen.mapInPandas(encode, "doc_id string, ids binary, n long, width int, curve long")
+    return coded.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _pieces(total: int, length: int):
@@ -170,9 +172,7 @@ def _pieces(total: int, length: int):
                     crc = zlib.crc32(ids[done : done + size].tobytes())
                     rows.append((doc_id, done, size, crc, n, sequence, start))
                     done += size
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     return cut
 
@@ -190,5 +190,7 @@ def packed(docs: DataFrame, params: PackParams = PackParams()) -> DataFrame:
     placed = with_running(narrow, [], ["curve", "doc_id", "tie", "row"], "n", "first")
     total = int(rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     joined = rows.select("row", "doc_id", "ids", "width").join(placed.select("row", "first"), "row")
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return joined.select("doc_id", "ids", "width", "first").mapInPandas(_pieces(total, params.length), schema)
+    schema = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    named = joined.select(F.col("doc_id").cast("string").alias("doc_id"), "ids", "width", "first")
+    pieces = named.mapInPandas(_pieces(total, params.length), schema)
+    return pieces.withColumn("doc_id", F.col("doc_id").cast("long"))
