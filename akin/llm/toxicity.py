@@ -132,12 +132,13 @@ def _grams(sizes: tuple[int, ...]):
     return split
 
 
-def choose(examples: DataFrame, prior: float, params: ToxicityParams) -> tuple[list[str], float]:
+def choose(examples: DataFrame, prior: float, docs: dict[bool, int], params: ToxicityParams) -> tuple[list[str], float]:
     """The features that stand out most among the positives.
 
     A feature counts once for each text and word that brings it. One is taken if, under the prior, at
     least `min_share` of its occurrences are in toxic texts, and by more than chance. Also gives the
-    prior, lowered if these features show that unlabelled texts hold fewer toxic ones.
+    prior, lowered if these features show that unlabelled texts hold fewer toxic ones. `docs` has the
+    numbers of positive and unlabelled texts.
     """
     words = (
         examples.select("text", "positive").mapInPandas(_words, "word string, p long, u long")
@@ -169,7 +170,7 @@ def choose(examples: DataFrame, prior: float, params: ToxicityParams) -> tuple[l
     rows = best.orderBy(F.desc("surprise"), "feature").limit(params.max_features).collect()
     # A feature of toxic texts alone is as frequent in unlabelled texts as toxic ones are, times its
     # frequency in those: the most telling features bound the prior from above.
-    ratios = [(r["u"] / n_u) / (r["p"] / n_p) for r in rows[:50] if r["u"]]
+    ratios = [(r["u"] / docs[False]) / (r["p"] / docs[True]) for r in rows[:50] if r["u"]]
     return [r["feature"] for r in rows], min([prior, *([float(np.quantile(ratios, 0.1))] if ratios else [])])
 
 
@@ -217,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
     n = dict(examples.groupBy("positive").count().collect())
     if not n.get(True) or not n.get(False):
         return constant
-    features, prior = choose(examples, prior, params)
+    features, prior = choose(examples, prior, n, params)
     sizes = params.grams
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
