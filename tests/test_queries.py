@@ -1,11 +1,12 @@
 import pytest
 
 import __spark_entry__ as entry
+from suite import oracles, queries
 from tests import compare
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = queries.QUERIES
+SQL = oracles.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -15,6 +16,8 @@ def db():
 
 def test_every_query_has_sql():
     assert QUERIES.keys() == SQL.keys()
+    assert QUERIES.items() <= entry.queries().items()
+    assert entry.oracle_sql().keys() <= entry.queries().keys()
 
 
 @pytest.mark.parametrize("name", QUERIES)
