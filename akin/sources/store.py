@@ -29,6 +29,10 @@ class TableStore:
 
     def versions(self, name: str) -> list[int]:
         """Committed versions of a table, oldest first."""
+        return [number for number, done in self._folders(name) if done]
+
+    def _folders(self, name: str) -> list[tuple[int, bool]]:
+        """Numbers of all versions begun, and whether Spark has committed them."""
         jvm = self.spark._jvm
         folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
@@ -38,8 +42,8 @@ class TableStore:
         for status in fs.listStatus(folder):
             match = re.fullmatch(r"v(\d{8})", status.getPath().getName())
             done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-            if match and fs.exists(done):
-                found.append(int(match.group(1)))
+            if match:
+                found.append((int(match.group(1)), fs.exists(done)))
         return sorted(found)
 
     def path(self, name: str, version: int) -> str:
@@ -57,8 +61,8 @@ class TableStore:
         return reader.parquet(self.path(name, versions[-1]))
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
-        """Write the next version and read it back."""
-        number = max(self.versions(name), default=0) + 1
+        """Write the next version and read it back; numbers of failed writes are not used again."""
+        number = max((n for n, _ in self._folders(name)), default=0) + 1
         df.write.option("maxRecordsPerFile", 5_000_000).mode("error").parquet(
             self.path(name, number)
         )
@@ -140,8 +144,9 @@ def deleted(table: DataFrame, items: DataFrame) -> DataFrame:
 
 def deletion_counts(table: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, n_deleted, found) for each item asked to be deleted."""
-    counts = table.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    return items.select("item_id").distinct().join(counts, "item_id", "left").select(
+    asked = items.select("item_id").distinct()
+    counts = table.join(asked, "item_id", "left_semi").groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    return asked.join(counts, "item_id", "left").select(
         "item_id",
         F.coalesce("n", F.lit(0)).alias("n_deleted"),
         F.col("n").isNotNull().alias("found"),

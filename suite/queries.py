@@ -188,9 +188,11 @@ def missing_values(spark, sf):
 
 def check_unique_keys(spark, sf):
     """Summaries that occur more than once, and doubled keys of the neighbour table (there are none)."""
-    texts = quality.duplicate_keys(fx.catalog(spark, sf), ["summary_clean"])
+    # Digests, not whole texts, go through the shuffle.
+    digests = fx.catalog(spark, sf).select(F.md5("summary_clean").alias("key"))
+    texts = quality.duplicate_keys(digests, ["key"])
     keys = quality.duplicate_keys(fx.stored_similarities(spark, sf), ["item_id", "similar_item_id"])
-    return texts.select(F.md5("summary_clean").alias("key"), "n").union(
+    return texts.select("key", "n").union(
         keys.select(F.concat_ws("-", "item_id", "similar_item_id"), "n")
     )
 

@@ -44,6 +44,8 @@ def test_an_unfinished_version_is_not_read(store, similar, tmp_path):
     (tmp_path / "t" / "v00000002").mkdir()
     (tmp_path / "t" / "notes").mkdir()
     assert store.versions("t") == [1] and pairs(store.read("t")) == [(1, 2)]
+    store.write("t", similar((3, 4, 0.5)))
+    assert store.versions("t") == [1, 3] and pairs(store.read("t")) == [(3, 4)]
 
 
 def test_reading_a_missing_table(store):
