@@ -108,14 +108,19 @@ def text_length(column: str) -> Column:
     return F.coalesce(F.length(column), F.lit(0)).cast("long")
 
 
-def child_coverage(enriched: DataFrame) -> DataFrame:
-    """Items with at least one child text, and the mean number of children."""
-    per_item = enriched.groupBy("item_id").agg(
-        F.max(F.size("season_summaries") > 0).alias("covered"),
-        F.max("season_count").alias("season_count"),
+def child_coverage(
+    items: DataFrame, children: DataFrame, key: str, parent_key: str, text: str
+) -> DataFrame:
+    """Items with at least one child text, and the mean number of children.
+
+    Only counts leave the children, never their texts; `items` has one row per key.
+    """
+    counts = children.groupBy(F.col(parent_key).alias("_parent")).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.length(text) > 0).alias("covered")
     )
+    per_item = items.select(F.col(key).alias("_key")).join(counts, F.col("_key") == F.col("_parent"), "left")
     return per_item.agg(
         F.count(F.lit(1)).alias("n_items"),
         F.count(F.when(F.col("covered"), 1)).alias("n_with_summaries"),
-        F.avg("season_count").alias("mean_season_count"),
+        F.avg(F.coalesce("n", F.lit(0))).alias("mean_season_count"),
     )

@@ -132,71 +132,36 @@ def to_metadata(catalog: DataFrame, synced_at: Column | None = None) -> DataFram
     )
 
 
-def _child_parts(
-    children: DataFrame, parent_key: str, order: str, value: Column, part_size: int
+def _with_children(
+    parents: DataFrame, children: DataFrame, key: str, parent_key: str, order: str, value: Column, count_name: str
 ) -> DataFrame:
-    """Children collected in order, at most `part_size` of them in a row.
+    """One row per parent: `_rows`, the children as (o, v) in order, null for none, and their number.
 
-    (parent, order) is unique, so a span of `part_size` order values bounds each array. A parent
-    with very many children gives several parts instead of one huge group.
+    Null orders come first and equal orders go by value. Children without a parent are left out.
     """
-    return (
-        children.groupBy(
-            F.col(parent_key).alias("_parent"),
-            F.floor(F.col(order) / F.lit(part_size)).cast("long").alias("_part"),
-        )
-        .agg(
-            F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v")))).alias(
-                "_rows"
-            ),
-            F.count(F.lit(1)).alias("_rows_in_part"),
-        )
-        .withColumn("_values", F.col("_rows.v"))
-        .drop("_rows")
-    )
-
-
-def _with_child_parts(
-    parents: DataFrame, parts: DataFrame, key: str, count_name: str
-) -> DataFrame:
-    """Parents joined to the parts of their children; `_values` is null for the childless.
-
-    An inner join and an anti join instead of one outer join: AQE can split the many parts of a hot
-    parent in an inner join, but not the right side of a left join.
-    """
-    counts = parts.groupBy("_parent").agg(F.sum("_rows_in_part").alias(count_name))
-    counted = parents.join(counts, F.col(key) == F.col("_parent"), "left").drop("_parent")
-    some = counted.filter(F.col(count_name).isNotNull()).join(
-        parts.drop("_rows_in_part"), F.col(key) == F.col("_parent")
+    row = F.struct(F.col(order).alias("o"), value.alias("v"))
+    grouped = children.groupBy(F.col(parent_key).alias("_parent")).agg(
+        F.array_sort(F.collect_list(row)).alias("_rows"), F.count(F.lit(1)).alias("_count")
     )
-    none = counted.filter(F.col(count_name).isNull()).withColumn(count_name, F.lit(0).cast("long"))
     return (
-        some.drop("_parent")
-        .withColumnRenamed("_part", "part")
-        .unionByName(none.withColumn("part", F.lit(0).cast("long")), allowMissingColumns=True)
+        parents.join(grouped, F.col(key) == F.col("_parent"), "left")
+        .withColumn(count_name, F.coalesce("_count", F.lit(0)))
+        .drop("_parent", "_count")
     )
 
 
 def enrich_with_children(
-    parents: DataFrame,
-    children: DataFrame,
-    key: str,
-    parent_key: str,
-    order: str,
-    text: str,
-    part_size: int = 1000,
+    parents: DataFrame, children: DataFrame, key: str, parent_key: str, order: str, text: str
 ) -> DataFrame:
     """Parents with the ordered non-empty texts and the number of their children.
 
-    Parents without children stay, with an empty list and 0. One row per parent, and one more for
-    each further `part_size` order values (`part` 0, 1, ...); `season_count` is of the whole parent.
+    One row per row of `parents`; those without children have an empty list and 0.
     """
-    parts = _child_parts(children, parent_key, order, F.col(text), part_size)
-    out = _with_child_parts(parents, parts, key, "season_count")
-    texts = F.filter("_values", lambda t: F.length(t) > 0)
+    out = _with_children(parents, children, key, parent_key, order, F.col(text), "season_count")
+    texts = F.filter("_rows.v", lambda t: F.length(t) > 0)
     return out.withColumn(
         "season_summaries", F.coalesce(texts, F.array().cast("array<string>"))
-    ).drop("_values")
+    ).drop("_rows")
 
 
 def enriched_items(
@@ -221,17 +186,10 @@ def enriched_items(
 
 
 def nest_children(
-    parents: DataFrame,
-    children: DataFrame,
-    key: str,
-    parent_key: str,
-    order: str,
-    part_size: int = 1000,
+    parents: DataFrame, children: DataFrame, key: str, parent_key: str, order: str
 ) -> DataFrame:
-    """Parents with all columns of their children nested in order, in parts as above."""
-    parts = _child_parts(
-        children, parent_key, order, F.struct(*[F.col(c) for c in children.columns]), part_size
-    )
-    out = _with_child_parts(parents, parts, key, "child_count")
-    empty = F.filter("_values", lambda _: F.lit(False))
-    return out.withColumn("children", F.coalesce("_values", empty, F.array())).drop("_values")
+    """Parents with all columns of their children nested in order; one row per row of `parents`."""
+    whole = F.struct(*[F.col(c) for c in children.columns])
+    out = _with_children(parents, children, key, parent_key, order, whole, "child_count")
+    empty = F.filter("_rows.v", lambda _: F.lit(False))
+    return out.withColumn("children", F.coalesce("_rows.v", empty, F.array())).drop("_rows")

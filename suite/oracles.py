@@ -225,13 +225,12 @@ FOUR = """round(similarity_score, 6) AS similarity_score, round(genre_score, 6)
     round(text_score, 6) AS text_score, round(metadata_score, 6) AS metadata_score"""
 part(
     "remixed",
-    "stored",
-    best(
-        mix(0.3, 0.6, 0.1, "metadata_score", True),
-        "(SELECT * EXCLUDE (similarity_score) FROM stored)",
-        10,
-        0.2,
-    ),
+    "pairs",
+    f"""
+    SELECT item_id, similar_item_id, similarity_score, round(genre_score, 9) AS genre_score,
+        round(text_score, 9) AS text_score, round(mean_score, 9) AS metadata_score,
+        '{STAMP}' AS computed_at
+    FROM ({best(mix(0.3, 0.6, 0.1, 'mean_score', True), 'pairs', 10, 0.2)})""",
 )
 part(
     "bought",
@@ -356,7 +355,7 @@ ORACLES["find_by_name"] = query(
 ORACLES["enrich_with_children"] = query(
     "catalog",
     """
-    SELECT c.id AS item_id, 0::BIGINT AS part, c.name, c.summary, array_to_string(c.genres, '|') AS genres,
+    SELECT c.id AS item_id, c.name, c.summary, array_to_string(c.genres, '|') AS genres,
         c.network, c.webchannel, c.rating_avg AS rating, c.type, c.language, c.status,
         coalesce(s.texts, '') AS season_summaries, coalesce(s.n_texts, 0) AS n_summaries,
         coalesce(s.n, 0) AS season_count
@@ -366,7 +365,7 @@ ORACLES["enrich_with_children"] = query(
         FROM conversations WHERE turn > 0 GROUP BY conv_id) s ON s.conv_id = c.id""",
 )
 ORACLES["nest_children"] = """
-    SELECT p.conv_id AS item_id, 0::BIGINT AS part, p.text AS summary, coalesce(s.n, 0) AS child_count,
+    SELECT p.conv_id AS item_id, p.text AS summary, coalesce(s.n, 0) AS child_count,
         coalesce(s.lines, '') AS children
     FROM conversations p LEFT JOIN (
         SELECT conv_id, count(*) AS n,
@@ -717,6 +716,9 @@ ORACLES["distinct_sources"] = query("stored", "SELECT DISTINCT item_id FROM stor
 ORACLES["reweight_stored_pairs"] = query(
     "remixed", f"SELECT item_id, similar_item_id, {FOUR} FROM remixed"
 )
+ORACLES["rebuild_with_weights"] = query(
+    "remixed", f"SELECT item_id, similar_item_id, {FOUR}, computed_at FROM remixed"
+)
 
 ORACLES["validate_requests"] = query("valid", "SELECT * FROM valid")
 ORACLES["similar_items"] = served(10, 0.0)

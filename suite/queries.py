@@ -10,7 +10,7 @@ from akin.functions.numeric import mixed_score, nan_to_null
 from akin.functions.text import clean_html, clean_texts, combine_text, tokens
 from akin.operators import explore, features, neighbours, quality, serve
 from akin.operators.pair_stats import PairScores
-from akin.plans.build import build
+from akin.plans.build import CATALOG, build, rebuild_with_weights
 from akin.sources import catalog as catalogs
 from akin.sources import store as tables
 from akin.sources.scratch import written
@@ -89,7 +89,7 @@ def enrich_with_children(spark, sf):
         fx.raw_items(spark, sf), fx.children(spark, sf), "conv_id", "turn", "text"
     )
     return rich.select(
-        "item_id", "part", "name", "summary", joined("genres"), "network", "webchannel", "rating",
+        "item_id", "name", "summary", joined("genres"), "network", "webchannel", "rating",
         "type", "language", "status", joined("season_summaries"),
         F.size("season_summaries").cast("long").alias("n_summaries"), "season_count",
     )
@@ -100,7 +100,7 @@ def nest_children(spark, sf):
         fx.parents(spark, sf), fx.children(spark, sf), "item_id", "conv_id", "turn"
     )
     lines = F.transform("children", lambda c: F.concat_ws(":", c["turn"], c["role"], c["text"]))
-    return nested.select("item_id", "part", "summary", "child_count", F.array_join(lines, "|").alias("children"))
+    return nested.select("item_id", "summary", "child_count", F.array_join(lines, "|").alias("children"))
 
 
 # --- text ---------------------------------------------------------------------------------------
@@ -172,10 +172,10 @@ def histogram(spark, sf):
 
 
 def child_coverage(spark, sf):
-    rich = catalogs.enriched_items(
-        fx.raw_items(spark, sf), fx.children(spark, sf), "conv_id", "turn", "text"
+    found = explore.child_coverage(
+        fx.catalog(spark, sf), fx.children(spark, sf), "id", "conv_id", "text"
     )
-    return rounded(explore.child_coverage(rich), "mean_season_count")
+    return rounded(found, "mean_season_count")
 
 
 def quality_report(spark, sf):
@@ -377,9 +377,16 @@ def store_similarities(spark, sf):
     return stamped(rounded(store.read(tables.SIMILARITIES), *SCORES), "computed_at")
 
 
+def _text_heavy(spark, sf):
+    """The best 10 of every item under other weights, out of all pairs of the stored features."""
+    items = fx.stored_features(spark, sf).items
+    return neighbours.top_neighbours(items, (TEXT_HEAVY,), 10, 0.2, True, "mean").drop("scheme")
+
+
 def replace_neighbours(spark, sf):
+    """The toxic items get the lists of other weights."""
     old = fx.stored_similarities(spark, sf)
-    new = serve.remixed(old, TEXT_HEAVY, 10, 0.2)
+    new = _text_heavy(spark, sf).withColumn("computed_at", fx.stamp())
     return rounded(tables.replaced_neighbours(old, new, toxic(spark, sf)).drop("computed_at"), *SCORES)
 
 
@@ -430,8 +437,18 @@ def distinct_sources(spark, sf):
 
 
 def reweight_stored_pairs(spark, sf):
-    found = serve.remixed(fx.stored_similarities(spark, sf), TEXT_HEAVY, 10, 0.2)
-    return rounded(found.drop("computed_at"), *SCORES)
+    return rounded(_text_heavy(spark, sf), *SCORES)
+
+
+def rebuild(spark, sf):
+    """A stored table is built anew under other weights and read back."""
+    store = fx.new_store(spark)
+    store.write(CATALOG, fx.stored_catalog(spark, sf))
+    tables.save_features(store, fx.stored_features(spark, sf))
+    tables.store_similarities(store, fx.stored_similarities(spark, sf))
+    params = BuildParams(weights=TEXT_HEAVY, top_n=10, min_similarity=0.2, normalise_weights=True)
+    rebuild_with_weights(store, params, fx.stamp())
+    return stamped(rounded(store.read(tables.SIMILARITIES), *SCORES), "computed_at")
 
 
 def full_build(spark, sf):
@@ -558,6 +575,7 @@ QUERIES = {
     "neighbour_counts": neighbour_counts,
     "distinct_sources": distinct_sources,
     "reweight_stored_pairs": reweight_stored_pairs,
+    "rebuild_with_weights": rebuild,
     "full_build": full_build,
     "validate_requests": validate_requests,
     "similar_items": _served(10, 0.0),

@@ -97,15 +97,15 @@ def test_children_come_in_order_and_childless_parents_stay(family):
     assert found[3].season_summaries == []
 
 
-def test_a_parent_with_many_children_comes_in_parts(family):
-    parents, children = family
-    rows = catalog.enrich_with_children(
-        parents, children, "item_id", "pid", "seq", "text", part_size=10
-    ).collect()
-    first = sorted((r.part, r.season_summaries, r.season_count) for r in rows if r.item_id == 1)
-    assert [p for p, _, _ in first] == [0, 1, 2]
-    assert sum((s for _, s, _ in first), []) == [f"t{i}" for i in range(1, 26) if i % 3]
-    assert {c for _, _, c in first} == {25}
+@pytest.mark.parametrize("orders", [[1999, 2000], [None, 3], [5, 5], [-1, 10**12]])
+def test_a_parent_is_one_row_whatever_the_orders(spark, orders):
+    parents = spark.createDataFrame([(1, "a")], "item_id long, name string")
+    children = spark.createDataFrame([(1, o, t) for o, t in zip(orders, "xy")], "pid long, seq long, text string")
+    rich = catalog.enrich_with_children(parents, children, "item_id", "pid", "seq", "text").collect()
+    assert [(r.season_summaries, r.season_count) for r in rich] == [(["x", "y"], 2)]
+    nested = catalog.nest_children(parents, children, "item_id", "pid", "seq").collect()
+    assert [[c.text for c in r.children] for r in nested] == [["x", "y"]]
+    assert rich[0].asDict().keys() == {"item_id", "name", "season_summaries", "season_count"}
 
 
 def test_nested_children_keep_all_columns(family):

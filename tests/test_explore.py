@@ -72,11 +72,10 @@ def test_value_and_genre_counts(spark):
     assert [tuple(r) for r in explore.genre_counts(items, 2).collect()] == [("y", 3), ("x", 1)]
 
 
-def test_child_coverage_counts_an_item_once(spark):
-    rows = [(1, 0, ["a"], 3), (1, 1, [], 3), (2, 0, [], 1), (3, 0, [], 0)]
-    found = explore.child_coverage(
-        spark.createDataFrame(rows, "item_id long, part long, season_summaries array<string>, season_count long")
-    ).first()
+def test_child_coverage(spark):
+    items = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    rows = [(1, "a"), (1, ""), (1, None), (2, ""), (9, "orphan")]
+    found = explore.child_coverage(items, spark.createDataFrame(rows, "pid long, text string"), "id", "pid", "text").first()
     assert (found.n_items, found.n_with_summaries) == (3, 1)
     assert found.mean_season_count == pytest.approx(4 / 3)
 

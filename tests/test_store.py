@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from akin.config import Weights
 from akin.operators import features as feature_ops
-from akin.operators import serve
 from akin.sources import store as tables
 
 def when():
@@ -136,13 +135,3 @@ def test_all_feature_tables_are_needed(spark, store):
     loaded = tables.load_features(store)
     for name, df in found.tables().items():
         assert sorted(loaded.tables()[name].collect(), key=str) == sorted(df.collect(), key=str)
-
-
-def test_remix_ranks_again(spark):
-    rows = spark.createDataFrame(
-        [(1, 2, 0.9, 1.0, 0.0, 0.0), (1, 3, 0.5, 0.0, 0.9, 0.0), (1, 4, 0.4, 0.0, 0.1, 0.0)],
-        "item_id long, similar_item_id long, similarity_score double, genre_score double, "
-        "text_score double, metadata_score double",
-    )
-    found = serve.remixed(rows, Weights(0, 2, 0), 2, 0.05).orderBy(F.desc("similarity_score")).collect()
-    assert [(r.similar_item_id, r.similarity_score) for r in found] == [(3, 0.9), (4, 0.1)]
