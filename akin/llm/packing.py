@@ -11,6 +11,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 from akin.llm.common import with_running
 from akin.sources.scratch import written
 
-_CACHED = 200_000
+_CACHED = 500_000
+_MARK = ";"
 
 
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -52,16 +54,44 @@ class _Pieces(dict):
     def __init__(self, tokenizer, kind: str):
         super().__init__()
         self.tokenizer, self.kind = tokenizer, kind
+        mark = tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self]
         if len(self) + len(new) > _CACHED:
             self.clear()
             new = list(words)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self[word] = np.array(found.ids, dtype=self.kind).tobytes()
+        plain = [w for w in new if _MARK not in w] if self.mark is not None else []
+        for i in range(0, len(plain), 2_000):
+            self._together(plain[i : i + 2_000])
+        left = [w for w in new if w not in self]
+        for i in range(0, len(left), 20_000):
+            self._alone(left[i : i + 20_000])
+
+    def _together(self, part: list[str]) -> None:
+        """Many stretches in one call, told apart by the id of the mark, which none of them holds."""
+        found = self.tokenizer.encode_batch_fast([f" {_MARK} ".join(part)], add_special_tokens=False)[0].ids
+        ids = np.array(found, dtype=self.kind)
+        at = np.flatnonzero(ids == self.mark)
+        # A character that is normalised into the mark would shift the stretches: then each goes alone.
+        if len(at) == len(part) - 1:
+            for word, lo, hi in zip(part, [0, *(at + 1).tolist()], [*at.tolist(), len(ids)], strict=True):
+                self[word] = ids[lo:hi].tobytes()
+
+    def _alone(self, part: list[str]) -> None:
+        for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            self[word] = np.array(found.ids, dtype=self.kind).tobytes()
+
+
+@lru_cache(maxsize=1)
+def _learned(path: str, end: int) -> _Pieces:
+    """The stretches that this worker process knows; later tasks go on with them."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    width = 2 if max(tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else 4
+    return _Pieces(tokenizer, f"<u{width}")
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -111,11 +141,9 @@ def tokenized(docs: DataFrame, params: PackParams) -> DataFrame:
     """doc_id, ids (little-endian, `width` bytes each: two if the vocabulary allows), n, width, curve."""
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(params.tokenizer or public_tokenizer())
-        width = 2 if max(tokenizer.get_vocab_size(), params.end + 1) <= 1 << 16 else 4
-        pieces, kind = _Pieces(tokenizer, f"<u{width}"), f"<u{width}"
+        pieces = _learned(params.tokenizer or public_tokenizer(), params.end)
+        kind = pieces.kind
+        width = int(kind[-1])
         end = np.array([params.end], dtype=kind).tobytes()
         for frame in frames:
             for at in range(0, len(frame), 300):
