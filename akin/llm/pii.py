@@ -38,17 +38,63 @@ SYLLABLES = {
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _CAPITAL = r"\p{Lu}\p{L}+(?:-\p{Lu}\p{L}+)?"
 _TITLE = "(?:" + "|".join(sorted(MALE_TITLES + FEMALE_TITLES, key=len, reverse=True)) + r")\.?"
-PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": r"(?<![0-9+])(?:[0-9][ -]?){12,18}[0-9](?![0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?:(?<![A-Za-z0-9+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5}|(?<![A-Za-z0-9+(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|(?<![0-9A-Za-z+.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9A-Za-z])",
-    "name": rf"(?<!\p{{L}}){_TITLE} {_CAPITAL}(?: {_CAPITAL})?",
+# IBAN lengths by country; other countries are found by the general form.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK",
+    21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
 }
-KINDS = tuple(PATTERNS)
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_IBAN = "|".join(
+    rf"(?:{'|'.join(countries.split())})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}"
+    + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    for n, countries in _IBAN_LENGTHS.items()
+)
+_IP = rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])"
+_SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+_NOT_CALLED = r"(?<!\+[0-9]{1,3}[ .-])"
+def _spaced_digits(least: int, most: int) -> str:
+    """Digits with signs between, written out: Java looks back only over what has a plain maximum."""
+    one, more = r"[ .()-]{0,3}[0-9]", ""
+    for _ in range(most - least):
+        more = f"(?:{one}{more})?"
+    return one * least + more
+
+
+#: What is looked for, in this order, in what the ones before have left; so no kind swallows its neighbour.
+#: Forms of fixed length come before those of free length. None: candidates of CARDS with right check digits.
+PASSES = (
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"),
+    ("iban", rf"(?<![A-Za-z0-9])(?:{_IBAN})(?![A-Za-z0-9])"),
+    ("ip", rf"(?<![0-9.+]){_IP}"),
+    ("phone", r"(?:(?<![A-Za-z0-9+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|(?<![A-Za-z0-9+(])(?<!\+[0-9]{1,3}[ .-])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|(?<![0-9A-Za-z+.-])(?<!\+[0-9]{1,3}[ .-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9A-Za-z])"),
+    ("ssn", rf"(?<![0-9-]){_NOT_CALLED}{_SSN}"),
+    ("card", None),
+    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    ("phone", r"(?:(?<![A-Za-z0-9+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5}|(?<![A-Za-z0-9+(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|(?<![0-9A-Za-z+.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9A-Za-z])" + rf"(?<!\+{_spaced_digits(1, 7)}\)?)(?<!\+{_spaced_digits(16, 23)}\)?)"),
+    ("card", None),
+    ("ssn", rf"(?<![0-9-]){_SSN}"),
+    ("ip", rf"(?<![0-9.]){_IP}"),
+    ("name", rf"(?<!\p{{L}}){_TITLE} {_CAPITAL}(?: {_CAPITAL})?"),
+)
+#: What stands before a card: in the first search no telephone number or account that has begun.
+_CARD_STARTS = (
+    rf"(?<![0-9+])(?<!\+{_spaced_digits(1, 9)}[ .()-]{{1,3}})(?<![A-Z]{{2}}[0-9]{{2}} ?)",
+    r"(?<![0-9+])",
+)
+#: Groups as printed on cards, any start; then any groups, at every length, from the digits that issuers have, and the longest.
+_CARDS = (
+    (
+        r"[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4}", r"[0-9]{4}([ -])[0-9]{6}\2[0-9]{5}", r"[0-9]{4}([ -])[0-9]{6}\2[0-9]{4}",
+        r"[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4}\2[0-9]{3}", r"[0-9]{13,19}",
+    ),
+    (
+        *(rf"[2-6](?:[ -]?[0-9]){{{n - 1}}}" for n in (16, 15, 19, 18, 17, 14, 13)),
+        r"(?:[0-9][ -]?){12,18}[0-9]",
+    ),
+)
+_THIRTEEN = r"(?<![0-9+])(?:[0-9][ -]?){12}[0-9]"
+ANY = "|".join(f"(?:{p})" for p in (*(p for _, p in PASSES if p), _THIRTEEN))
 #: Cheap: texts without any of this hold no entity.
 HINT = "[0-9@]|" + "|".join(MALE_TITLES + FEMALE_TITLES)
 
@@ -79,20 +125,51 @@ def _plain(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9A-Za-z]", "")
 
 
-def kind_of(value: Column) -> Column:
-    """The first kind whose pattern fits the whole match; null if its check digits are wrong."""
-    out = F.lit(None).cast("string")
-    for kind in reversed(KINDS):
-        fits = value.rlike(f"^(?:{PATTERNS[kind]})$")
-        plain = _plain(value)
-        if kind == "card":
-            fits = fits & F.length(plain).between(13, 19) & (_luhn_sum(plain, False) % 10 == 0)
-        if kind == "phone":
-            fits = fits & F.length(plain).between(8, 15)
-        out = F.when(fits, F.lit(kind)).otherwise(out)
+def _cards(text: Column, search: int) -> Column:
+    """The pattern of the cards with right check digits that a text holds, wherever they start; null if none."""
+    start = _CARD_STARTS[search]
+    found = [F.regexp_extract_all(text, F.lit(f"{start}(?=({shape})(?![0-9]))"), F.lit(1)) for shape in _CARDS[search]]
+    right = F.filter(F.array_distinct(F.concat(*found)), lambda v: _luhn_sum(_plain(v), False) % 10 == 0)
+    either = F.array_join(F.transform(right, lambda v: F.concat(F.lit(r"\Q"), v, F.lit(r"\E"))), "|")
+    return F.when(F.size(right) > 0, F.concat(F.lit(f"{start}(?:"), either, F.lit(")(?![0-9])")))
+
+
+def pieces(text: Column) -> Column:
+    """The text as an array of (value, kind): rest, entity, rest, ... , rest. Rests have no kind and may be empty."""
+
+    def cut(value: Column, kind: str, pattern: Column) -> Column:
+        between = F.split(value, pattern, -1)
+        found = F.regexp_extract_all(value, pattern, F.lit(0))
+        rows = F.zip_with(
+            between, found,
+            lambda b, v: F.array(_piece(b, F.lit(None)), _piece(v, F.when(v.isNotNull(), F.lit(kind)))),
+        )
+        return F.filter(F.flatten(rows), lambda x: x["value"].isNotNull())
+
+    def searched(kind: str, fixed: str | None, search: int):
+        def step(piece: Column) -> Column:
+            value, whole = piece["value"], F.array(piece)
+            if fixed is not None:
+                return F.when(piece["kind"].isNull() & value.rlike(fixed), cut(value, kind, F.lit(fixed))).otherwise(whole)
+            hit = piece["kind"].isNull() & value.rlike(_THIRTEEN)
+            made = F.transform(
+                F.array(_cards(value, search)), lambda p: F.when(p.isNull(), whole).otherwise(cut(value, kind, p))
+            )
+            return F.when(hit, made[0]).otherwise(whole)
+
+        return step
+
+    out, searches = F.array(_piece(text, F.lit(None))), 0
+    for kind, fixed in PASSES:
+        out = F.flatten(F.transform(out, searched(kind, fixed, searches)))
+        searches += fixed is None
     return out
 
 
+def _piece(value: Column, kind: Column) -> Column:
+    return F.struct(value.cast("string").alias("value"), kind.cast("string").alias("kind"))
+
+
 def _title(value: Column) -> Column:
     return F.regexp_extract(value, rf"^({_TITLE}) ", 1)
 
@@ -249,17 +326,18 @@ def replaced(docs: DataFrame, params: PiiParams = PiiParams(), entities: str | N
     extra = [F.lit("").alias(entities)] if entities else []
     rest = docs.filter(~hit).select("*", *extra)
     hits = docs.filter(hit).withColumn("__row", F.monotonically_increasing_id())
-    hits = hits.withColumn("__found", F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(0)))
-    hits = written(hits.withColumn("__parts", F.split(text, ANY, -1)), "hits")
-    seen = hits.select("__row", F.posexplode("__found").alias("pos", "value"))
-    seen = seen.withColumn("kind", kind_of(F.col("value")))
+    hits = hits.withColumn("__pieces", pieces(text))
+    hits = hits.withColumn("__found", F.filter("__pieces", lambda p: p["kind"].isNotNull()))
+    parts = F.transform(F.filter("__pieces", lambda p: p["kind"].isNull()), lambda p: p["value"])
+    hits = written(hits.withColumn("__parts", parts).drop("__pieces"), "hits")
+    seen = hits.select("__row", F.posexplode("__found").alias("pos", "piece")).select("__row", "pos", "piece.*")
     seen = written(seen.withColumn("plain", canonical(F.col("kind"), F.col("value"))), "found")
-    names = registry(seen.filter("kind is not null"), params)
-    joined = seen.join(names, ["kind", "plain"], "left")
-    new = F.when(F.col("new").isNull(), F.col("value")).otherwise(formatted(F.col("kind"), F.col("value"), F.col("new")))
+    joined = seen.join(registry(seen, params), ["kind", "plain"])
+    new = formatted(F.col("kind"), F.col("value"), F.col("new"))
     put = joined.select("__row", F.struct("pos", new.alias("put"), "kind").alias("item"))
     by_row = put.groupBy("__row").agg(F.sort_array(F.collect_list("item")).alias("__put"))
-    parts = F.zip_with("__parts", F.col("__put.put"), lambda p, n: F.concat(p, F.coalesce(n, F.lit(""))))
-    kinds = [F.array_join("__put.kind", ",").alias(entities)] if entities else []
+    put = F.coalesce(F.col("__put.put"), F.array().cast("array<string>"))
+    parts = F.zip_with("__parts", put, lambda p, n: F.concat(p, F.coalesce(n, F.lit(""))))
+    kinds = [F.coalesce(F.array_join("__put.kind", ","), F.lit("")).alias(entities)] if entities else []
     columns = [F.array_join(parts, "").alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return rest.unionByName(hits.join(by_row, "__row").select(*columns, *kinds))
+    return rest.unionByName(hits.join(by_row, "__row", "left").select(*columns, *kinds))

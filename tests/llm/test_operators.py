@@ -170,6 +170,23 @@ def test_cards_keep_their_check_digit(spark):
     assert card != "4041894974608795" and total % 10 == 0 and text.endswith("1234567890123456")
 
 
+ENTITIES = {
+    "email": "a.b@mail.example.com", "ip": "190.137.223.204", "iban": "AT61 1904 3002 3457 3201", "card": "4111 1111 1111 1111",
+    "ssn": "123-45-6789", "phone": "+1 (826) 555-4081", "name": "Mr Smith",
+}
+
+
+def test_adjacent_entities_are_all_replaced(spark):
+    values = [*ENTITIES.items(), ("ip", "8.8.4.4"), ("phone", "+44 20 7946 0958"), ("phone", "826-555-4081"), ("card", "371449635398431")]
+    rows = [(f"{a},{b}", f"{x} {y}", f"{x}|{y}") for a, x in values for b, y in values if (a, b) != ("name", "name")]
+    rows += [("card", "4111 1111 1111 1111 12/26", "4111 1111"), ("card", "4111 1111 1111 1111 123", "4111 1111"),
+             ("phone,ip", "+1 (826) 555-4081 1.2.3.4", "1.2.3.4"), ("card", "1234 4111 1111 1111 1111", "1111 1111")]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, want string, text string, old string")
+    out = pii.replaced(frame, entities="kinds").collect()
+    assert [(r["old"], r["kinds"]) for r in out if r["kinds"] != r["want"]] == []
+    assert not [r["text"] for r in out for v in r["old"].split("|") if v in r["text"]]
+
+
 def test_toxicity_finds_held_out_words(spark):
     rng = random.Random(2)
     rows, labels = [], []
