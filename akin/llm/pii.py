@@ -225,15 +225,17 @@ def _iban(plain: Column, hexes: Column) -> Column:
     return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), body)
 
 
-def _name(plain: Column, hexes: Column) -> Column:
-    number = lambda start: F.conv(F.substring(hexes, start, 1), 16, 10).cast("int") + 1
+def _name(plain: Column, hexes: Column, attempt: Column) -> Column:
+    """The surname grows by a syllable with every attempt, so there is no last free name."""
+    number = lambda start: F.conv(F.substring(hexes, start, F.lit(1)), 16, 10).cast("int") + 1
 
     def of(script: str) -> Column:
         pick = lambda values, start: F.element_at(F.array(*map(F.lit, values)), number(start))
-        first = F.when(plain.startswith("female:"), pick(FIRST_NAMES[script, "female"], 1)).otherwise(
-            pick(FIRST_NAMES[script, "male"], 1)
+        first = F.when(plain.startswith("female:"), pick(FIRST_NAMES[script, "female"], F.lit(1))).otherwise(
+            pick(FIRST_NAMES[script, "male"], F.lit(1))
         )
-        last = F.initcap(F.concat(*(pick(SYLLABLES[script], k) for k in (2, 3, 4))))
+        syllables = F.transform(F.sequence(F.lit(1), attempt + 3), lambda k: pick(SYLLABLES[script], k % 64 + 1))
+        last = F.initcap(F.array_join(syllables, ""))
         return F.when(F.instr(plain, " ") > 0, F.concat(first, F.lit(" "), last)).otherwise(last)
 
     new = F.when(plain.rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin"))
@@ -266,7 +268,7 @@ def surrogate(params: PiiParams, kind: Column, plain: Column, attempt: Column) -
         .when(kind == "card", F.concat(body, check))
         .when(kind == "ssn", F.concat(F.lit("9"), F.substring(digits, 1, 8)))
         .when(kind == "iban", _iban(plain, hexes))
-        .when(kind == "name", _name(plain, hexes))
+        .when(kind == "name", _name(plain, hexes, attempt))
         .otherwise(F.concat(kept, F.substring(rest, F.lit(1), F.least(n, F.lit(10)))))
     )
 

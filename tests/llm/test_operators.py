@@ -187,6 +187,14 @@ def test_adjacent_entities_are_all_replaced(spark):
     assert not [r["text"] for r in out for v in r["old"].split("|") if v in r["text"]]
 
 
+def test_names_never_run_out(spark):
+    names = [f"Mr {a}{b}{c}" for a in ("Bo", "Ke", "La", "Mi") for b in WORDS[:60] for c in WORDS[:20]]
+    frame = spark.createDataFrame([(n,) for n in names], "text string")
+    out = [r["text"] for r in pii.replaced(frame).collect()]
+    assert len(set(names)) == len(names) > 4096
+    assert len(set(out)) == len(names) and not set(out) & set(names)
+
+
 def test_toxicity_finds_held_out_words(spark):
     rng = random.Random(2)
     rows, labels = [], []
