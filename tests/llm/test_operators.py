@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -282,6 +283,21 @@ def test_license_variants():
     assert matcher.match("A licence to kill is not a wording that any template holds") is None
 
 
+def test_license_notices_over_lines_and_side_by_side():
+    matcher = licenses.Matcher(licenses.LicenseParams())
+    names = lambda text: {m[0] for m in matcher.scan(text)}
+    for name in ("MIT", "Apache-2.0", "GPL-3.0", "BSD-3-Clause"):
+        for part in licenses.TEMPLATES[name][1:]:
+            lines = textwrap.wrap(part, 60)
+            for mark in ("", " * ", "# ", "// "):
+                found = matcher.scan("Some words before.\n\n" + "\n".join(mark + line for line in lines) + "\n\nint main()")
+                assert [(m[0], m[2], m[6]) for m in found] == [(name, 2, True)]
+    assert names("Licensed under the MIT License. Licensed under CC BY 4.0.") == {"MIT", "CC-BY-4.0"}
+    assert names("Licensed under the MIT License or the Apache License, Version 2.0.") == {"MIT", "Apache-2.0"}
+    assert names("x = 1\n// SPDX-License-Identifier: MIT OR GPL-2.0-only") == {"MIT", "GPL-2.0"}
+    assert matcher.scan("a\nLicensed under the MIT License.\nb")[0][:5] == ("MIT", 1, 1, 2, 33)
+
+
 def test_nearest_is_exact_and_relaxed_is_close(spark):
     rng = np.random.default_rng(0)
     vectors = rng.normal(size=(600, 8)).astype("float32")
