@@ -42,7 +42,15 @@ TAG = re.compile(
     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""",
     re.S,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: Words of asides that can hold articles of their own, as comments and teasers do.
+HOLDS_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising comment comments disqus modal newsletter popup promo promotion "
+    "related replies reply respond sponsor sponsored widget".split()
+)
+# How sure a name is: of a page's layout, of the element's own role, or hidden. An article within the first
+# is text again, and main within the first two.
+LAYOUT, OWN, HIDDEN = 1, 2, 3
 WORD = re.compile(r"\S+")
 
 
@@ -60,19 +68,31 @@ class Block:
     at: int
 
 
-def _flags(name: str, attributes: str) -> tuple[bool, bool, bool]:
-    """(element apart from the text, named or hidden as such, element of the main text)."""
-    aside, named, inside = name in ASIDE, False, name in TEXT
+def _named(token: str) -> int:
+    """What a word of class, id or role says of an element: 0, LAYOUT or OWN."""
+    words = [w for w in re.split(r"[^a-z]+", token) if w]
+    found, text = ASIDE_WORDS.intersection(words), TEXT_WORDS.intersection(words)
+    if words[:1] in (["has"], ["no"], ["with"]) or text and words[-1] in ("wrap", "wrapper", "container", "layout"):
+        return 0
+    if found == {"header"} and words[0] in ("article", "entry", "post", "story"):
+        return 0
+    if not found:
+        return 0
+    return OWN if len(words) == 1 or found & HOLDS_WORDS else LAYOUT
+
+
+def _flags(name: str, attributes: str) -> tuple[bool, int, bool]:
+    """(element apart from the text, how it is named or hidden as such, element of the main text)."""
+    aside, named, inside = name in ASIDE, 0, name in TEXT
     for key, value in ATTRIBUTE.findall(attributes) if attributes else ():
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
-            named = True
+            named = HIDDEN
         elif key == "style":
-            named = named or "display:none" in value.replace(" ", "")
-        else:
-            found = set(re.split(r"[^a-z]+", value))
-            named = named or bool(found & ASIDE_WORDS)
-            inside = inside or bool(found & TEXT_WORDS)
+            named = HIDDEN if "display:none" in value.replace(" ", "") else named
+        elif key in ("class", "id", "role") and name not in ("html", "body"):
+            named = max(named, *map(_named, value.split()), 0)
+            inside = inside or bool(TEXT_WORDS.intersection(re.split(r"[^a-z]+", value)))
     return aside, named, inside
 
 
@@ -92,9 +112,9 @@ def blocks(page: str | None) -> list[Block]:
         text = " ".join(html.unescape("".join(p for p, _ in parts)).split())
         if text:
             linked = len(WORD.findall(html.unescape(" ".join(p for p, in_link in parts if in_link))))
-            top = stack[-1] if stack else ("", False, False, False)
+            top = stack[-1] if stack else ("", False, 0, False)
             heading = any(s[0] in HEADINGS for s in stack[-3:])
-            out.append(Block(text, linked, len(text.split(" ")), top[1], top[2], top[3], heading, first))
+            out.append(Block(text, linked, len(text.split(" ")), top[1], top[2] > 0, top[3], heading, first))
         parts = []
 
     def add(text: str, at: int) -> None:
@@ -145,10 +165,13 @@ def blocks(page: str | None) -> list[Block]:
         if stack and name in ("li", "option", "td", "th", "tr", "dt", "dd") and stack[-1][0] == name:
             stack.pop()
         aside, named, inside = _flags(name, attributes)
-        around = stack[-1] if stack else ("", False, False, False)
+        around = stack[-1] if stack else ("", False, 0, False)
         if name == "header" and around[3]:
-            aside = False
-        stack.append((name, aside or around[1], named or around[2], inside or around[3]))
+            aside, named = False, named if named == HIDDEN else 0
+        above = around[2]
+        if name in TEXT and above <= (OWN if name == "main" else LAYOUT):
+            above = 0
+        stack.append((name, aside or around[1], max(named, above), inside or around[3]))
     end_block()
     return out
 

@@ -76,4 +76,15 @@ PAGES: list[list[tuple[int, str]]] = [
         (1, '<main><article><header><h1>Night</h1></header><p>' + _LONG + "</p><ol><li>" + _MIDDLE + "</li><li>" + _SHORT + "</li></ol></article></main>"),
         (0, '<ul class="social"><li>Follow us</li></ul><div class="sponsor">' + _MIDDLE + "</div>"),
     ],
+    [
+        (0, "<html class='no-sidebar'><body class='single has-sidebar comments-open'><div id='page' class='no-sidebar'>" + _nav("home", "map")),
+        (1, "<div class='content-sidebar-wrap'><article><header class='entry-header'><h1>Low water</h1></header><p title='the hidden river'>" + _LONG + "</p><p>" + _SHORT + "</p></article>"),
+        (0, "<div class='sidebar'><p>" + _LONG + "</p></div></div><div class='comments'><article class='comment'><p>" + _MIDDLE + "</p></article></div>"),
+        (0, "<footer>&copy; The Valley Post</footer></div></body></html>"),
+    ],
+    [
+        (0, "<body class='comments-open'><div class='page-sidebar-right'>"),
+        (1, "<main><div class='post-header'><h1>Ice</h1></div><p>" + _MIDDLE + "</p><p>" + _ONE + "</p></main>"),
+        (0, "<div class='related-posts'><article><h3>Bridges</h3><p>" + _MIDDLE + "</p></article></div><div class='footer-wrapper'>" + _LONG + "</div></div></body>"),
+    ],
 ]

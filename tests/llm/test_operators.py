@@ -274,6 +274,22 @@ def test_html_blocks():
         assert isinstance(html_blocks.main_text(odd, tree), str)
 
 
+def test_html_wrappers_do_not_hide_the_article():
+    tree, body = html_blocks.trained(), "<h1>Title</h1></header><p>The first paragraph has a few words of its own.</p><p>Short.</p>"
+    want = "Title\n\nThe first paragraph has a few words of its own.\n\nShort."
+    wrappers = (
+        ("<html class='no-nav'><body class='single has-sidebar'>", "</body></html>"), ("<body class='comments-open'>", "</body>"),
+        ("<div class='content-sidebar-wrap'>", "</div>"), ("<div id='page' class='no-sidebar'>", "</div>"),
+        ("<div class='site-sidebar-left'>", "</div>"), ("<div title='the hidden river' data-class='ad'>", "</div>"),
+    )
+    for before, after in wrappers:
+        for header in ("<header>", "<header class='entry-header'>"):
+            page = f"{before}<article>{header}{body}</article><div class='comments'><article><p>I like it very much.</p></article></div>{after}"
+            assert html_blocks.main_text(page, tree) == want
+    for hidden in ("<div hidden>", "<div style='display: none'>", "<div class='related-posts'>", "<div class='footer-wrapper'>"):
+        assert html_blocks.main_text(f"{hidden}<p>Some more words that nobody sees here.</p></div>", tree) == ""
+
+
 def test_license_variants():
     matcher = licenses.Matcher(licenses.LicenseParams())
     exact = matcher.match("Licensed under CC BY-NC 4.0.")
