@@ -54,24 +54,43 @@ def with_running(
     return joined.select(*df.columns, name)
 
 
-def _slot(key: Column) -> Column:
+def _slot(key: Column, bits: int) -> Column:
     """From 1 on, as the buckets of Spark's bitmap functions start there."""
-    return F.pmod(F.xxhash64(key), F.lit(BITMAP_BITS)) + 1
+    return F.pmod(F.xxhash64(key), F.lit(bits)) + 1
 
 
-def in_bitmap(df: DataFrame, column: str, keys: DataFrame, key: str, name: str) -> DataFrame:
+def in_bitmap(
+    df: DataFrame, column: str, keys: DataFrame, key: str, name: str, n_bits: int = BITMAP_BITS
+) -> DataFrame:
     """`df` with a flag `name`: true for all rows whose `column` is a `key` of `keys`, and a few others.
 
-    The keys become a bitmap of BITMAP_BITS hashed bits, in rows of 4 KB. It is the same size for any
+    The keys become a bitmap of `n_bits` hashed bits, in rows of 4 KB. It is the same size for any
     number of keys, so it can be broadcast; nothing else of `df` moves. Nulls are keys like others.
     """
-    slots = keys.select(_slot(F.col(key)).alias("slot"))
+    slots = keys.select(_slot(F.col(key), n_bits).alias("slot"))
     bits = slots.groupBy(F.bitmap_bucket_number("slot").alias("__bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("__bits")
     )
-    marked = df.withColumn("__slot", _slot(F.col(column)))
+    marked = df.withColumn("__slot", _slot(F.col(column), n_bits))
     joined = marked.join(F.broadcast(bits), F.bitmap_bucket_number("__slot") == F.col("__bucket"), "left")
     at = F.bitmap_bit_position("__slot").cast("int")
     byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     bit = F.call_function("shiftright", byte, at % 8).bitwiseAND(F.lit(1))
     return joined.withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop("__slot", "__bucket", "__bits")
+
+
+#: Keys that a bitmap may stand for: at eight bits each it has 64 MB.
+MOST_BITMAP_KEYS = 1 << 26
+
+
+def having(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of `df` whose `column` is a `key` of `keys`, which is written and holds no key twice.
+
+    Of not too many keys a bitmap of eight bits each is broadcast, so that most other rows go before the
+    join; more keys than MOST_BITMAP_KEYS are joined right away.
+    """
+    n = keys.count()
+    if n <= MOST_BITMAP_KEYS:
+        bits = max(1 << 15, 1 << (8 * n).bit_length())
+        df = in_bitmap(df, column, keys, key, "__here", bits).filter("__here").drop("__here")
+    return df.join(keys.select(F.col(key).alias("__key")), F.col(column) == F.col("__key"), "left_semi")

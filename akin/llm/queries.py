@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from akin.llm import mixing
+from akin.llm import covertree, importance, mixing
 from akin.llm.common import table
 
 
@@ -82,6 +82,29 @@ def op10_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     return linked(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_importance(spark: SparkSession, sf: str) -> DataFrame:
+    from akin.llm.importance import resampled
+
+    return resampled(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    from akin.llm.covertree import mined
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").alias("v"), moved.alias("label")
+    )
+    return mined(vectors, F.col("id") % 100 == 0)
+
+
+def op13_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    from akin.llm.repeats import without_repeats
+
+    out = without_repeats(table(spark, sf, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -93,10 +116,15 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_vantage_trees": op9_vantage_trees,
     "op10_ngram_join": op10_ngram_join,
+    "op11_importance": op11_importance,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_repeats": op13_repeats,
 }
 
 ORACLES: dict[str, str] = {
     "op3_mixing": mixing.oracle(),
+    "op11_importance": importance.oracle(),
+    "op12_hard_negatives": covertree.oracle(),
     "op9_vantage_trees": """
     WITH usable AS (
       SELECT DISTINCT vec_id, embedding::DOUBLE[] AS v FROM embeddings
