@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from akin.operators.features import FeatureSet
 from akin.schemas import ITEM_METADATA, ITEM_SIMILARITIES
+from akin.sources.items import ItemTable, Written
 
 SIMILARITIES = "item_similarities"
 METADATA = "item_metadata"
@@ -34,8 +35,7 @@ class TableStore:
     def _folders(self, name: str) -> list[tuple[int, bool]]:
         """Numbers of all versions begun, and whether Spark has committed them."""
         jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs, folder = self._at(f"{self.root}/{name}")
         if not fs.exists(folder):
             return []
         found = []
@@ -58,17 +58,42 @@ class TableStore:
             raise FileNotFoundError(f"no table {name} under {self.root}")
         schema = schema or _KEEP.get(name)
         reader = self.spark.read if schema is None else self.spark.read.schema(schema)
-        return reader.parquet(self.path(name, versions[-1]))
+        table = reader.parquet(self.path(name, versions[-1]))
+        # Item tables have one more column, the bucket of the folder.
+        return table if schema is None else table.select(*schema.names)
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         """Write the next version and read it back; numbers of failed writes are not used again."""
-        number = max((n for n, _ in self._folders(name)), default=0) + 1
+        number = self.begin(name)
         df.write.option("maxRecordsPerFile", 5_000_000).mode("error").parquet(
             self.path(name, number)
         )
         return self.read(name, df.schema)
 
 
+    def begin(self, name: str) -> int:
+        """The number of the next version."""
+        return max((n for n, _ in self._folders(name)), default=0) + 1
+
+    def commit(self, name: str, number: int) -> None:
+        """Make a version current that was written without the mark of success."""
+        fs, done = self._at(f"{self.path(name, number)}/_SUCCESS")
+        fs.create(done).close()
+
+    def names_in(self, path: str) -> list[str]:
+        fs, folder = self._at(path)
+        return [status.getPath().getName() for status in fs.listStatus(folder)]
+
+    def remove(self, path: str) -> None:
+        fs, folder = self._at(path)
+        fs.delete(folder, True)
+
+    def _at(self, path: str):
+        """The file system of a path, and the path in its terms."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+
 # --- features -----------------------------------------------------------------------------------
 
 
@@ -115,17 +140,31 @@ def laid_out(similarities: DataFrame) -> DataFrame:
     )
 
 
+def similarity_table(store: TableStore, buckets: int = 64) -> ItemTable:
+    """The neighbour table: one row per item and neighbour, best neighbour first."""
+    order = [F.desc("similarity_score"), F.col("similar_item_id")]
+    keys = ["item_id", "similar_item_id"]
+    return ItemTable(store, SIMILARITIES, ITEM_SIMILARITIES, keys, order, "computed_at", buckets)
+
+
+def metadata_table(store: TableStore, buckets: int = 64) -> ItemTable:
+    """The metadata table: one row per item."""
+    return ItemTable(store, METADATA, ITEM_METADATA, ["item_id"], [], "synced_at", buckets)
+
+
 def store_similarities(
     store: TableStore,
     neighbours: DataFrame,
     clear_existing: bool = True,
     computed_at: Column | None = None,
 ) -> DataFrame:
-    """Replace the neighbour table, or add to it when `clear_existing` is false."""
-    new = as_similarities(neighbours, computed_at)
+    """Replace the neighbour table, or add to it when `clear_existing` is false; repeated keys are an error."""
+    new, table = as_similarities(neighbours, computed_at), similarity_table(store)
     if not clear_existing and store.exists(SIMILARITIES):
-        new = store.read(SIMILARITIES).unionByName(new)
-    return store.write(SIMILARITIES, laid_out(new))
+        table.append(new)
+    else:
+        table.write(new)
+    return table.read()
 
 
 def replaced_neighbours(old: DataFrame, new: DataFrame, items: DataFrame) -> DataFrame:
@@ -162,11 +201,10 @@ def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def store_metadata(store: TableStore, metadata: DataFrame) -> DataFrame:
-    return store.write(METADATA, metadata)
-
-
-def item_ids(metadata: DataFrame) -> DataFrame:
-    return metadata.select("item_id")
+    """Replace all metadata; a repeated item is an error."""
+    table = metadata_table(store)
+    table.write(metadata)
+    return table.read()
 
 
 # --- statistics ---------------------------------------------------------------------------------
@@ -193,6 +231,17 @@ def run_stats(similarities: DataFrame, top_n: int, min_similarity: float) -> Dat
     )
 
 
+def written_stats(store: TableStore, found: Written, top_n: int, min_similarity: float) -> DataFrame:
+    """`run_stats` out of what the write itself has counted, in one row; nothing is read back."""
+    mean = found.rows / found.items if found.items else 0.0
+    row = (found.rows, found.items, mean, found.last, found.items, top_n, float(min_similarity))
+    schema = (
+        "total_records long, unique_items long, avg_similarities_per_item double, last_computed timestamp, "
+        "computed_items long, top_n_per_item long, min_similarity double"
+    )
+    return store.spark.createDataFrame([row], schema)
+
+
 def system_stats(similarities: DataFrame, metadata: DataFrame, weights) -> DataFrame:
     """Statistics of the store, the number of cached items and the weights, in one row."""
     cached = metadata.agg(F.count(F.lit(1))).scalar()
