@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,8 +149,13 @@ def top_neighbours(
     found = grouped_in_arrow(groups, _FOUND, score)
     # Both branches below read the lists, and scoring must not run again when an executor is lost.
     lists = written(_merged(found, top_n + 1), "lists")
+    return _given(lists, profiles, keyed, top_n, schemes)
 
-    alone = lists.filter(F.col("copies") == 1).withColumn("item_id", F.col("rep"))
+
+def _given(
+    lists: DataFrame, profiles: DataFrame, keyed: DataFrame, top_n: int, schemes: tuple[Weights, ...]
+) -> DataFrame:
+    """The lists of profiles as rows of the items in `keyed`."""
     copied = profiles.filter(F.col("copies") > 1).select("profile", F.col("rep").alias("_rep"))
     # One list per copied profile against all its members: AQE splits the members of a hot one.
     members = (
@@ -157,11 +163,73 @@ def top_neighbours(
         .join(copied, "profile")
         .select("item_id", "_rep")
     )
+    alone = lists.filter(F.col("copies") == 1).withColumn("item_id", F.col("rep"))
     shared = lists.filter(F.col("copies") > 1).join(members, F.col("rep") == F.col("_rep"))
     columns = ["scheme", "item_id", "best"]
     return _listed(alone.select(*columns).union(shared.select(*columns)), top_n, schemes)
 
 
+def neighbours_of(
+    features: DataFrame,
+    items: DataFrame,
+    weights: Weights = Weights(),
+    top_n: int = 20,
+    min_similarity: float = 0.1,
+    normalise: bool = True,
+    metadata_mode: str = "mean",
+    counter: Accumulator | None = None,
+) -> DataFrame:
+    """The lists that `top_neighbours` gives to `items` (column item_id), out of all items.
+
+    Asked profiles meet every profile, no other pair is scored: k x n products instead of n x n.
+    The first block gives every asked row a floor, the n-th best score so far, and only what
+    reaches it comes back from the others. `counter` gets the number of pairs scored. Unknown,
+    null and repeated items give nothing more.
+    """
+    mixes = (weights.effective(normalise),)
+    keyed = with_profile(features)
+    asked_items = keyed.join(items.select(F.col("item_id").alias("id")).distinct(), "id", "left_semi")
+    asked_items = written(asked_items.select("id", "profile"), "asked-items")
+    profiles = written(distinct_profiles(keyed, top_n + 1), "profiles")
+    asked = written(profiles.join(asked_items.select("profile").distinct(), "profile", "left_semi"), "asked")
+    n_asked, n_rows = asked.count(), profiles.count()
+    cores = profiles.sparkSession.sparkContext.defaultParallelism
+    sides = max(1, math.ceil(n_asked / MAX_BLOCK))
+    blocks = max(1, math.ceil(n_rows / MAX_BLOCK), min(2 * cores, math.ceil(n_rows / MIN_BLOCK)))
+    columns = ["rep", "copies", "heads", *PAYLOAD]
+    best_of = pairmath.best_of_asked
+
+    def number(n: int) -> Column:
+        return F.pmod(F.xxhash64("rep"), F.lit(n)).cast("int")
+
+    def scored(asked: DataFrame, first: int, last: int) -> DataFrame:
+        """Asked rows, with their floors, against the blocks from `first` to `last`."""
+        left = asked.select(*columns, "floor", (-1 - number(sides)).alias("block")).withColumn("lo", F.col("block"))
+        left = left.withColumn("hi", F.explode(F.sequence(F.lit(first), F.lit(last))))
+        right = profiles.select(*columns, F.lit(0.0).alias("floor"), number(blocks).alias("block"))
+        right = right.filter(F.col("block").between(first, last))
+        right = right.withColumn("lo", F.explode(F.sequence(F.lit(-sides), F.lit(-1)))).withColumn("hi", F.col("block"))
+        n_tasks = min(2 * sides * (last - first + 1), MAX_TASKS)
+        groups = left.unionByName(right).repartition(n_tasks, "lo", "hi").groupBy("lo", "hi")
+
+        def score(table, lo, hi):
+            return best_of(table, lo, hi, mixes, top_n, min_similarity, metadata_mode, counter)
+
+        return written(grouped_in_arrow(groups, _FOUND, score), "found")
+
+    begun = asked.withColumn("floor", F.lit(float(min_similarity)))
+    found = scored(begun, 0, 0)
+    if blocks > 1:
+        nth = Window.partitionBy("rep").orderBy(F.desc("score"), "other")
+        # Other profiles only: an item can be missing from the list of its own profile.
+        others = found.filter(F.col("rep") != F.col("other")).withColumn("nth", F.row_number().over(nth))
+        floors = others.filter(F.col("nth") == top_n).select("rep", F.col("score").alias("floor"))
+        left = asked.join(floors, "rep", "left").withColumn("floor", F.coalesce("floor", F.lit(float(min_similarity))))
+        found = found.unionByName(scored(left, 1, blocks - 1))
+    lists = written(_merged(found, top_n + 1), "lists")
+    return _given(lists, profiles, asked_items, top_n, (weights,)).drop("scheme")
+
+
 def _merged(found: DataFrame, n: int) -> DataFrame:
     """The `n` best items for each profile, as one ordered array per profile and scheme."""
     best = Window.partitionBy("scheme", "rep").orderBy(F.desc("score"), "other")

@@ -26,6 +26,7 @@ class Block:
         self.rep = table["rep"].to_numpy()
         self.copies = table["copies"].to_numpy()
         self.heads = table["heads"].combine_chunks() if "heads" in table.column_names else None
+        self.floor = table["floor"].to_numpy() if "floor" in table.column_names else None
         self.platform = table["platform_bucket"].to_numpy()
         self.language = table["language_bucket"].to_numpy()
         self.type = table["type_code"].to_numpy()
@@ -157,6 +158,37 @@ def best_of_blocks(table, lo, hi, schemes, top_n, low, mode):
     return pa.concat_tables(found)
 
 
+def best_of_asked(table, asked, block, schemes, top_n, low, mode, counter=None):
+    """The best `top_n` partners in one block of each asked row, and the row's own copies if any.
+
+    One-sided: rows of the block get nothing. What is below a row's floor cannot be among its best.
+    """
+    a, b = blocks_of(table, asked, block)
+    if counter is not None:
+        counter.add(a.n * b.n)
+    if a.n == 0 or b.n == 0:
+        return None
+    right = np.hstack(b.parts(mode)).astype(np.float32).T
+    place = np.searchsorted(b.rep, a.rep)
+    own = np.where(b.rep[np.minimum(place, b.n - 1)] == a.rep, place, -1)
+    found = []
+    for scheme, weights in enumerate(schemes):
+        left = np.hstack([w * part for w, part in zip(weights, a.parts(mode))]).astype(np.float32)
+        margin = 1e-6 * left.shape[1] * sum(map(abs, weights))
+        floor = np.maximum(low, a.floor) if len(schemes) == 1 else np.full(a.n, float(low))
+        for rows in row_chunks(a.n, ROUGH_ROWS):
+            rough = left[rows] @ right
+            here = np.flatnonzero(own[rows] >= 0)
+            rough[here, own[rows][here]] = -np.inf
+            reach = np.maximum(floor[rows], nth_at_least(rough, top_n, axis=1)) - margin
+            row, col = np.nonzero(rough >= reach[:, None].astype(np.float32))
+            copied = here[a.copies[rows][here] > 1]
+            row = np.concatenate([row, copied]) + rows.start
+            col = np.concatenate([col, own[rows][copied]])
+            found.append(_best(a, row, b, col, scheme, weights, top_n, low, mode))
+    return pa.concat_tables(found)
+
+
 def nth_at_least(scores: np.ndarray, n: int, axis: int) -> np.ndarray:
     """A lower bound of the n-th largest value along an axis: that of the maxima of groups."""
     width = scores.shape[axis]

@@ -675,11 +675,27 @@ ORACLES["replace_neighbours"] = query(
         UNION ALL BY NAME
         SELECT * EXCLUDE (computed_at) FROM remixed WHERE item_id IN (SELECT item_id FROM toxic))""",
 )
+ORACLES["store_append"] = ORACLES["store_similarities"]
+ORACLES["store_replace"] = query(
+    "stored remixed toxic",
+    f"""
+    SELECT item_id, similar_item_id, {FOUR}, computed_at FROM stored
+        WHERE item_id NOT IN (SELECT item_id FROM toxic)
+    UNION ALL
+    SELECT item_id, similar_item_id, {FOUR}, '2025-02-01 00:00:00' FROM remixed
+        WHERE item_id IN (SELECT item_id FROM toxic)""",
+)
+ORACLES["store_delete"] = query(
+    "stored toxic",
+    f"""SELECT item_id, similar_item_id, {FOUR}, computed_at FROM stored
+    WHERE item_id NOT IN (SELECT item_id FROM toxic)""",
+)
 ORACLES["delete_items"] = query(
     "stored toxic",
     """SELECT t.item_id, count(s.item_id) AS n_deleted, count(s.item_id) > 0 AS found
     FROM toxic t LEFT JOIN stored s ON s.item_id = t.item_id GROUP BY 1""",
 )
+ORACLES["store_delete_counts"] = ORACLES["delete_items"]
 ORACLES["kept_after_delete"] = query(
     "metadata toxic",
     "SELECT item_id, name FROM metadata WHERE item_id NOT IN (SELECT item_id FROM toxic)",
@@ -693,6 +709,7 @@ ORACLES["upsert_metadata"] = query(
     SELECT unnest([item_id, -1 - item_id]), upper(name), {GENRES}, rating, '2025-02-01 00:00:00'
         FROM metadata WHERE item_id IN (SELECT item_id FROM toxic)""",
 )
+ORACLES["store_upsert"] = ORACLES["upsert_metadata"]
 STATS = """count(*) AS total_records, count(DISTINCT item_id) AS unique_items,
     round(count(*)::DOUBLE / count(DISTINCT item_id), 6) AS avg_similarities_per_item,
     max(computed_at) AS last_computed"""

@@ -17,6 +17,7 @@ from akin.sources.scratch import written
 from suite import fixture as fx
 
 TEXT_HEAVY = WEIGHT_SCHEMES[1]
+LATER = "2025-02-01 00:00:00"
 PATTERNS = ["red widget", "STEEL", "bolt$", "^(old|new) r", "no such name"]
 
 
@@ -383,13 +384,65 @@ def _text_heavy(spark, sf):
     return neighbours.top_neighbours(items, (TEXT_HEAVY,), 10, 0.2, True, "mean").drop("scheme")
 
 
+def _text_heavy_of(spark, sf, items):
+    """The same lists for some items only."""
+    features = fx.stored_features(spark, sf).items
+    return neighbours.neighbours_of(features, items, TEXT_HEAVY, 10, 0.2, True, "mean")
+
+
 def replace_neighbours(spark, sf):
     """The toxic items get the lists of other weights."""
     old = fx.stored_similarities(spark, sf)
-    new = _text_heavy(spark, sf).withColumn("computed_at", fx.stamp())
+    new = _text_heavy_of(spark, sf, toxic(spark, sf)).withColumn("computed_at", fx.stamp())
     return rounded(tables.replaced_neighbours(old, new, toxic(spark, sf)).drop("computed_at"), *SCORES)
 
 
+def _similarities(spark, sf, rows=None):
+    table = tables.similarity_table(fx.new_store(spark))
+    table.write(fx.stored_similarities(spark, sf) if rows is None else rows)
+    return table
+
+
+def store_append(spark, sf):
+    """The lists of the toxic items are added to those of the others."""
+    rows, some = fx.stored_similarities(spark, sf), toxic(spark, sf)
+    table = _similarities(spark, sf, tables.deleted(rows, some))
+    table.append(rows.join(some, "item_id", "left_semi"))
+    return stamped(rounded(table.read(), *SCORES), "computed_at")
+
+
+def store_replace(spark, sf):
+    """The stored lists of the toxic items are swapped for those of other weights."""
+    table, some = _similarities(spark, sf), toxic(spark, sf)
+    new = tables.as_similarities(_text_heavy_of(spark, sf, some), F.lit(LATER).cast("timestamp"))
+    table.replace(new, some)
+    return stamped(rounded(table.read(), *SCORES), "computed_at")
+
+
+def store_delete(spark, sf):
+    table = _similarities(spark, sf)
+    table.delete(toxic(spark, sf))
+    return stamped(rounded(table.read(), *SCORES), "computed_at")
+
+
+def store_delete_counts(spark, sf):
+    return _similarities(spark, sf).delete(toxic(spark, sf))
+
+
+def _changed(spark, sf):
+    """Toxic items renamed and re-stamped, and as new items under other ids."""
+    old = catalogs.lookup(fx.metadata(spark, sf), toxic(spark, sf), ["item_id"])
+    changed = old.withColumn("name", F.upper("name")).withColumn("synced_at", F.lit(LATER).cast("timestamp"))
+    return changed.unionByName(changed.withColumn("item_id", -1 - F.col("item_id")))
+
+
+def store_upsert(spark, sf):
+    table = tables.metadata_table(fx.new_store(spark))
+    table.write(fx.metadata(spark, sf))
+    table.upsert(_changed(spark, sf))
+    return stamped(table.read().select("item_id", "name", joined("genres"), "rating", "synced_at"), "synced_at")
+
+
 def delete_items(spark, sf):
     return tables.deletion_counts(fx.stored_similarities(spark, sf), toxic(spark, sf))
 
@@ -424,7 +477,10 @@ def system_stats(spark, sf):
 
 
 def run_stats(spark, sf):
-    found = tables.run_stats(fx.stored_similarities(spark, sf), 20, 0.1)
+    """The statistics that the write of the neighbour table has observed."""
+    store = fx.new_store(spark)
+    seen = tables.similarity_table(store).write(fx.stored_similarities(spark, sf))
+    found = tables.written_stats(store, seen, 20, 0.1)
     return stamped(rounded(found, "avg_similarities_per_item"), "last_computed")
 
 
@@ -566,6 +622,11 @@ QUERIES = {
     "pair_histogram": pair_histogram,
     "store_similarities": store_similarities,
     "replace_neighbours": replace_neighbours,
+    "store_append": store_append,
+    "store_replace": store_replace,
+    "store_delete": store_delete,
+    "store_delete_counts": store_delete_counts,
+    "store_upsert": store_upsert,
     "delete_items": delete_items,
     "kept_after_delete": kept_after_delete,
     "upsert_metadata": upsert_metadata,

@@ -234,3 +234,30 @@ def test_equal_scores_have_no_spread(spark):
     assert {(r.component, r.mean, r.std, r.median) for r in found} == {
         (c, 1.0, 0.0, 1.0) for c in ("genre", "text", "metadata", "hybrid")
     }
+
+
+def test_asked_items_get_their_lists_out_of_all_items(spark):
+    rows = [
+        (i, sorted({f"g{i % 3}", f"g{i % 7}"}), i % 4, None if i % 5 == 0 else "t", i % 2, [i % 11, 11 + i % 6], [1, 1], [0.6, 0.8])
+        for i in range(900)
+    ]
+    # Copies, also of asked items, and an item like no other.
+    rows += [(1000 + i, *rows[4][1:]) for i in range(40)] + [(2000, [], 9, None, 9, [], [], [])]
+    features = spark.createDataFrame(
+        rows,
+        "id long, genres array<string>, platform_bucket int, type string, language_bucket int, "
+        "term_ids array<int>, tfs array<long>, weights array<double>",
+    ).withColumn("type_id", F.lit(0))
+    weights = Weights(0.3, 0.5, 0.2)
+    whole = ops.top_neighbours(features, (weights,), 6, 0.2, True, "mean").drop("scheme")
+    asked = spark.createDataFrame([(i,) for i in (4, 4, 5, 77, 1003, 2000, 99999, None)], "item_id long")
+    counter = spark.sparkContext.accumulator(0)
+    some = ops.neighbours_of(features, asked, weights, 6, 0.2, True, "mean", counter)
+    got = sorted(tuple(r) for r in some.collect())
+    assert got == sorted(tuple(r) for r in whole.filter("item_id in (4, 5, 77, 1003, 2000)").collect())
+    assert {r[0] for r in got} >= {4, 5, 77, 1003}
+    profiles = features.drop("id").distinct().count()
+    asked_profiles = features.filter("id in (4, 5, 77, 1003, 2000)").drop("id").distinct().count()
+    assert counter.value == asked_profiles * profiles
+    none = ops.neighbours_of(features, asked.limit(0), weights, 6, 0.2, True, "mean")
+    assert none.count() == 0
