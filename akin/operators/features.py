@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from akin.config import FeatureParams
+from akin.functions.membership import may_hold
 from akin.functions.text import bigrams, tokens
 from akin.sources.scratch import written
 
-MAX_LISTED = 10_000  # words that may be listed in an expression
+MAX_BROADCAST = 10_000  # rows of a table that is hinted as small
 
 GROUPS = ("genre", "text", "platform", "type", "language")
 
@@ -109,8 +110,11 @@ def run_lengths(df: DataFrame, key: str, values: str, value_name: str) -> DataFr
 
 def item_words(items: DataFrame, params: FeatureParams = FeatureParams()) -> DataFrame:
     """(id, words): the words of the clean summary in order, stop words left out."""
-    clean = F.coalesce("summary_clean", F.lit(""))
-    return items.select("id", tokens(clean, params.stop_words).alias("words"))
+    return items.select("id", _words(params).alias("words"))
+
+
+def _words(params: FeatureParams) -> Column:
+    return tokens(F.coalesce("summary_clean", F.lit("")), params.stop_words)
 
 
 def _term_counts(words: DataFrame, terms: Column) -> DataFrame:
@@ -139,7 +143,7 @@ def term_vocab(words: DataFrame, params: FeatureParams = FeatureParams()) -> Dat
     least = best.agg(F.count(F.lit(1)).alias("n"), F.min("tf").alias("tf")).first()
     floor = least.tf if least.n == params.max_terms else 0
     frequent = singles.filter((F.col("df") >= params.min_df) & (F.col("tf") >= floor)).select("term")
-    pairs = _pairs_of(words, frequent)
+    pairs = _pairs_of(words, written(frequent, "frequent"))
     kept = (
         best.union(_term_counts(words.select("id", pairs.alias("pairs")), F.col("pairs")).filter(in_range))
         .orderBy(F.desc("tf"), "term")
@@ -156,11 +160,11 @@ def term_vocab(words: DataFrame, params: FeatureParams = FeatureParams()) -> Dat
 
 
 def _pairs_of(words: DataFrame, frequent: DataFrame) -> Column:
-    """Word pairs made of frequent words; of all words when the frequent ones are too many to list."""
-    known = [row.term for row in frequent.limit(MAX_LISTED + 1).collect()]
-    if len(known) > MAX_LISTED:
+    """Word pairs made of frequent words, and a few others; all pairs when there are too many to filter."""
+    test = may_hold(frequent, "term")
+    if test is None:
         return bigrams(F.col("words"))
-    listed = F.transform("words", lambda w: F.when(w.isin(*known), w)) if known else F.array()
+    listed = F.transform("words", lambda w: F.when(test(w), w))
     rest = F.greatest(F.size("words") - 1, F.lit(0))
     both = F.zip_with(
         F.slice(listed, F.lit(1), rest),
@@ -178,33 +182,54 @@ def fit_terms(words: DataFrame, params: FeatureParams = FeatureParams()) -> Data
     return vocab
 
 
-def text_vectors(words: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Packed TF-IDF rows (id, term_ids, tfs, weights) of the items that hold a known term.
+def with_text(words: DataFrame, vocab: DataFrame, keep_empty: bool = True) -> DataFrame:
+    """Each row with its term_ids, tfs and weights (TF-IDF, length one) instead of its words.
 
-    An item's terms leave the row they came from already combined, and the vocabulary is broadcast
-    when it is small, so only one packed row per item is shuffled.
+    The vocabulary, at most `max_terms` rows, is one value in the plan: terms are filtered, counted and
+    weighed in the row they come from, and nothing is shuffled. Rows without a known term have empty
+    arrays, or go if `keep_empty` is false.
     """
+    known = vocab.select("term", "term_id", "idf").collect()
+    about = F.create_map(*(x for t in known for x in (F.lit(t.term), F.struct(F.lit(t.term_id).alias("i"), F.lit(t.idf).alias("f")))))
+    rest = [c for c in words.columns if c != "words"]
     terms = F.concat("words", bigrams(F.col("words")))
-    known = [row.term for row in vocab.select("term").limit(MAX_LISTED + 1).collect()]
-    if len(known) <= MAX_LISTED:
-        terms = F.filter(terms, lambda t: t.isin(*known))
-    ordered = words.select("id", F.sort_array(terms).alias("_terms"))
-    hits = run_lengths(ordered, "id", "_terms", "term").join(
-        small(vocab.select("term", "term_id", "idf"), len(known)), "term"
+    kept = F.sort_array(F.filter(terms, lambda t: t.isin(*(t.term for t in known))))
+    starts = F.filter(
+        F.transform("_terms", lambda t, i: F.when((i == 0) | (t != F.get(F.col("_terms"), i - 1)), i)),
+        lambda i: i.isNotNull(),
     )
-    weight = F.col("tf") * F.col("idf")
-    packed = hits.groupBy("id").agg(
-        F.sort_array(F.collect_list(F.struct("term_id", "tf", weight.alias("w")))).alias("v"),
-        F.sqrt(F.sum(weight * weight)).alias("norm"),
+    runs = F.transform(
+        "_starts",
+        lambda at, k: F.struct(
+            F.element_at(about, F.get(F.col("_terms"), at)).alias("a"),
+            (F.coalesce(F.get(F.col("_starts"), k + 1), F.size("_terms")) - at).cast("long").alias("tf"),
+        ),
     )
-    return packed.select(
-        "id",
-        F.col("v.term_id").alias("term_ids"),
-        F.col("v.tf").alias("tfs"),
-        F.transform("v", lambda x: x["w"] / F.col("norm")).alias("weights"),
+    raw = F.transform("_runs", lambda r: r["tf"] * r["a"]["f"])
+    # Filters come here and nowhere later: Spark would push them down and spell all arrays out inside them.
+    found = words.select(*rest, kept.alias("_terms"))
+    found = found if keep_empty else found.filter(F.size("_terms") > 0)
+    # Each array is read twice by the next step, so Spark does not move it into a lambda.
+    norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda total, w: total + w * w))
+    return (
+        found.select(*rest, "_terms", starts.alias("_starts"))
+        .select(*rest, runs.alias("_runs"))
+        .select(*rest, "_runs", raw.alias("_raw"))
+        # Terms are numbered in their order, so the runs are in the order of the ids already.
+        .select(
+            *rest,
+            F.col("_runs.a.i").alias("term_ids"),
+            F.col("_runs.tf").alias("tfs"),
+            F.zip_with("_raw", F.array_repeat(norm, F.size("_raw")), lambda w, n: w / n).alias("weights"),
+        )
     )
 
 
+def text_vectors(words: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Packed TF-IDF rows (id, term_ids, tfs, weights) of the items that hold a known term."""
+    return with_text(words.select("id", "words"), vocab, keep_empty=False)
+
+
 def text_postings(vectors: DataFrame) -> DataFrame:
     """(id, term_id, weight) from packed rows."""
     return vectors.select("id", F.inline(F.arrays_zip("term_ids", "weights"))).toDF(
@@ -252,34 +277,34 @@ def type_onehot(items: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def extract(items: DataFrame, params: FeatureParams = FeatureParams()) -> FeatureSet:
     """Fit every vocabulary and build one packed feature row per item."""
-    words = written(item_words(items, params), "tokens")
-    terms = fit_terms(words, params)
+    # The words stay beside the rest of the item, so no join has to bring them together.
+    base = items.select("id", "genres", "platform", "type", "language", _words(params).alias("words"))
+    base = written(base, "tokens")
+    terms = fit_terms(base.select("id", "words"), params)
     platforms = written(top_categories(items, "platform", params.top_platforms), "platforms")
     languages = written(top_categories(items, "language", params.top_languages), "languages")
     types, genres = type_vocab(items), genre_vocab(items)
 
-    base = items.select("id", "genres", "platform", "type", "language")
+    base = with_text(base, terms)
     base = with_bucket(base, "platform", platforms, params.top_platforms, "platform_bucket")
     base = with_bucket(base, "language", languages, params.top_languages, "language_bucket")
-    base = base.join(types, "type", "left")
-    vectors = text_vectors(words, terms)
-    packed = base.join(vectors, "id", "left").select(
+    packed = base.join(types, "type", "left").select(
         "id",
         F.sort_array(F.array_distinct(F.coalesce("genres", _none("string")))).alias("genres"),
         "platform_bucket",
         "type",
         "type_id",
         "language_bucket",
-        F.coalesce("term_ids", _none("int")).alias("term_ids"),
-        F.coalesce("tfs", _none("long")).alias("tfs"),
-        F.coalesce("weights", _none("double")).alias("weights"),
+        "term_ids",
+        "tfs",
+        "weights",
     )
     return FeatureSet(written(packed, "items"), genres, terms, platforms, types, languages)
 
 
 def small(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint at a broadcast when the number of rows is known to be small; else leave the choice."""
-    return F.broadcast(df) if max_rows <= MAX_LISTED else df
+    return F.broadcast(df) if max_rows <= MAX_BROADCAST else df
 
 
 def _none(element: str) -> Column:

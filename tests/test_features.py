@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from akin.config import FeatureParams
+from akin.functions import membership
 from akin.operators import features as ops
 
 
@@ -52,12 +53,12 @@ def expected_terms(rows, max_terms, min_df, max_df, stop=("the", "and")):
     return {t: (df[t], tf[t], idf[t]) for t in kept}, vectors
 
 
-@pytest.mark.parametrize("listed", [10_000, 0])
+@pytest.mark.parametrize("most_bits", [membership.MOST_BITS, 0])
 @pytest.mark.parametrize(
     "max_terms, min_df, max_df", [(500, 2, 0.8), (30, 2, 0.8), (10, 3, 0.3), (5, 1, 1.0), (45, 2, 0.5)]
 )
-def test_tfidf_against_plain_python(spark, items, monkeypatch, listed, max_terms, min_df, max_df):
-    monkeypatch.setattr(ops, "MAX_LISTED", listed)
+def test_tfidf_against_plain_python(spark, items, monkeypatch, most_bits, max_terms, min_df, max_df):
+    monkeypatch.setattr(membership, "MOST_BITS", most_bits)
     params = FeatureParams(max_terms=max_terms, min_df=min_df, max_df=max_df)
     words = ops.item_words(items, params)
     vocab = ops.fit_terms(words, params)
@@ -85,6 +86,36 @@ def test_an_empty_vocabulary_is_an_error(spark):
         ops.fit_terms(ops.item_words(rows))
 
 
+def test_more_than_ten_thousand_frequent_words(spark):
+    # Every word is in two texts, and so is every pair of neighbours in the first half.
+    words = [f"w{i:05d}" for i in range(12_000)]
+    texts = [" ".join(words), " ".join(words[:6_000]) + " " + " ".join(reversed(words[6_000:]))]
+    rows = catalog(spark, [(i, [], t, None, None, None) for i, t in enumerate(texts)])
+    items = ops.item_words(rows)
+    vocab = ops.term_vocab(items, FeatureParams(max_terms=30_000, max_df=1.0))
+    terms = {r.term for r in vocab.select("term").collect()}
+    assert terms == set(words) | {f"{a} {b}" for a, b in zip(words[:6_000], words[1:6_000])}
+
+
+def test_a_membership_bitmap_has_all_its_keys_and_few_others(spark):
+    keys = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("k"))
+    test = membership.may_hold(keys, "k")
+    other = spark.range(20_000).select(F.concat(F.lit("other"), "id").alias("k"))
+    assert keys.filter(test(F.col("k"))).count() == 20_000
+    assert other.filter(test(F.col("k"))).count() < 3_000
+    none = membership.may_hold(keys.limit(0), "k")
+    assert keys.filter(none(F.col("k"))).count() == 0
+
+
+def test_vectors_are_made_in_the_row(spark, items, tmp_path):
+    words = ops.item_words(items, FeatureParams(max_terms=30))
+    words.write.parquet(f"{tmp_path}/w")
+    stored = spark.read.parquet(f"{tmp_path}/w")
+    vectors = ops.text_vectors(stored, ops.fit_terms(stored, FeatureParams(max_terms=30)))
+    plan = vectors._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_genres_are_multi_hot_without_repeats(spark, items):
     vocab = ops.genre_vocab(items)
     assert [(r.genre, r.genre_id) for r in vocab.orderBy("genre_id").collect()] == [
