@@ -34,4 +34,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove scratch tables that nothing will read again, so that only live ones take up disk.
+
+    Takes what `written` has returned; frames made from it must have been run by now.
+    """
+    for table in tables:
+        path = table._scratch_path
+        jvm, context = table.sparkSession._jvm, table.sparkSession._jsc
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context.hadoopConfiguration()).delete(at, True)

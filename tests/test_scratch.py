@@ -38,3 +38,15 @@ def test_written_keeps_rows_and_schema(spark):
     df = spark.createDataFrame([(1, ["a"], None)], "a long, b array<string>, c double")
     again = scratch.written(df, "t")
     assert again.schema.simpleString() == df.schema.simpleString() and again.collect() == df.collect()
+
+
+def test_a_discarded_table_is_gone_from_the_disk(spark):
+    from akin.sources.scratch import discard
+
+    table, other = written(spark.range(10).toDF("x"), "gone"), written(spark.range(5).toDF("x"), "kept")
+    path = table._scratch_path
+    assert table.count() == 10 and spark.read.parquet(path).count() == 10
+    scratch.discard(table)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    assert other.count() == 5
