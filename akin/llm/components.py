@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from akin.sources.scratch import written
+from akin.sources.scratch import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,16 +24,19 @@ def components(links: DataFrame) -> DataFrame:
         step = edges.groupBy(F.col("a").alias("from")).agg(F.least(F.col("from"), F.min("b")).alias("to"))
         step = written(step, "step")
         if labels is None:
-            labels = step.select(F.col("from").alias("node"), F.col("to").alias("label"))
+            old, labels = None, written(step.select(F.col("from").alias("node"), F.col("to").alias("label")), "labels")
         else:
             moved = labels.join(step, F.col("label") == F.col("from"), "left")
-            labels = written(moved.select("node", F.coalesce("to", "label").alias("label")), "labels")
+            old, labels = labels, written(moved.select("node", F.coalesce("to", "label").alias("label")), "labels")
         here = edges.join(step.select(F.col("from").alias("a"), F.col("to").alias("a2")), "a")
         both = here.join(step.select(F.col("from").alias("b"), F.col("to").alias("b2")), "b")
-        edges = written(
+        left = written(
             both.select(F.col("a2").alias("a"), F.col("b2").alias("b")).filter("a <> b").distinct(),
             "links",
         )
+        discard(edges, step, *([] if old is None else [old]))
+        edges = left
+    discard(edges)
     if labels is None:
         return links.sparkSession.createDataFrame([], "node long, label long")
     return labels

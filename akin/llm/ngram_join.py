@@ -30,10 +30,9 @@ from pyspark.sql.functions import pandas_udf
 
 from akin.llm.common import in_bitmap
 from akin.llm.components import components
-from akin.sources.scratch import written
+from akin.sources.scratch import discard, written
 
 _CACHED = 200_000
-_MASK = (1 << 64) - 1
 
 
 @dataclass(frozen=True)
@@ -428,39 +427,47 @@ def linked(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     columns are ignored. A node is a 64-bit hash of the set. An empty table gives an empty table.
     """
     percent = params.percent
-    sig = written(signatures(docs, params), "signatures")
-    nodes = written(
-        sig.filter("node is not null")
-        .groupBy("node")
-        .agg(F.max("n").alias("n"), F.max("point").alias("point"), F.min("doc_id").alias("doc_id")),
-        "nodes",
-    )
+    signed = written(signatures(docs, params), "signatures")
     shard = Window.partitionBy("key")
-    spread = sig.filter("keys is not null").select(F.explode("keys").alias("key"), "node")
+    spread = signed.filter("keys is not null").select(F.explode("keys").alias("key"), "node")
     shards = written(
         spread.select("key", "node", F.min("node").over(shard).alias("head"), F.max("node").over(shard).alias("last"))
         .filter("head <> last")
         .distinct(),
         "shards",
     )
+    # The keys are most of the table and needed no more.
+    sig = written(signed.drop("keys"), "signatures")
+    discard(signed)
+    nodes = written(
+        sig.filter("node is not null")
+        .groupBy("node")
+        .agg(F.max("n").alias("n"), F.max("point").alias("point"), F.min("doc_id").alias("doc_id")),
+        "nodes",
+    )
     points = nodes.select("node", "n", "point")
     stars = (
         shards.select(F.explode(F.array("head", "last")).alias("a"), F.col("node").alias("b")).filter("a <> b")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        .join(points.toDF("b", "n_b", "point_b"), "b")
-        .join(points.toDF("a", "n_a", "point_a"), "a")
     )
+    # Sizes alone rule out many pairs, before any point moves.
+    stars = written(_by_size(stars, nodes, percent), "stars")
+    judged = stars.join(points.toDF("b", "n_b", "point_b"), "b").join(points.toDF("a", "n_a", "point_a"), "a")
     shared = _overlap(F.col("point_a"), F.col("point_b"))
-    stars = stars.withColumn("shared", shared).filter(_enough(F.col("shared"), F.col("n_a"), F.col("n_b"), percent))
-    stars = written(stars.select("a", "b"), "stars")
-    first = written(_verified(stars, _sets(docs, nodes, _ends(stars), params), params), "links")
-    label = written(components(first), "labels")
+    judged = judged.withColumn("shared", shared).filter(_enough(F.col("shared"), F.col("n_a"), F.col("n_b"), percent))
+    judged = written(judged.select("a", "b"), "judged")
+    first = _links(judged, docs, nodes, params)
+    discard(stars, judged)
+    label = components(first)
 
     for limit in (params.first, None):
         cross = _across(shards, points, label, params, limit)
-        more = _verified(cross, _sets(docs, nodes, _ends(cross), params), params)
-        first = written(first.union(more), "links")
-        label = written(components(first), "labels")
+        more = _links(cross, docs, nodes, params)
+        both = written(first.union(more), "links")
+        discard(cross, first, more)
+        first = both
+        label = components(first)
+    discard(shards, first)
 
     roots = nodes.join(label, "node", "left").select(
         "node", F.coalesce("label", "node").alias("label"), F.col("doc_id").alias("first_id")
@@ -472,6 +479,22 @@ def linked(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     return out.select("doc_id", "n_shingles", "node", component.alias("component_id"))
 
 
+def _by_size(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes whose sizes allow the threshold."""
+    sizes = nodes.select("node", "n")
+    sized = pairs.join(sizes.toDF("b", "n_b"), "b").join(sizes.toDF("a", "n_a"), "a")
+    fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    return sized.filter(fits).select("a", "b")
+
+
+def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, params: JoinParams) -> DataFrame:
+    """Of a written table of pairs, those that really link, written."""
+    sets = _sets(docs, nodes, _ends(pairs), params)
+    found = written(_verified(pairs, sets, params), "links")
+    discard(sets)
+    return found
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
@@ -510,7 +533,9 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, params: JoinPara
     found = some.join(where, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("of") == F.col("node")))
     row = Window.partitionBy("node", "doc_id").orderBy("of")
     one = found.withColumn("row", F.row_number().over(row)).filter("row = 1")
-    return written(one.select("node", "shingles"), "sets")
+    sets = written(one.select("node", "shingles"), "sets")
+    discard(where)
+    return sets
 
 
 def one_of_each(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
