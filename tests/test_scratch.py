@@ -43,7 +43,7 @@ def test_written_keeps_rows_and_schema(spark):
 def test_a_discarded_table_is_gone_from_the_disk(spark):
     from akin.sources.scratch import discard
 
-    table, other = written(spark.range(10).toDF("x"), "gone"), written(spark.range(5).toDF("x"), "kept")
+    table, other = scratch.written(spark.range(10).toDF("x"), "gone"), scratch.written(spark.range(5).toDF("x"), "kept")
     path = table._scratch_path
     assert table.count() == 10 and spark.read.parquet(path).count() == 10
     scratch.discard(table)
