@@ -146,7 +146,7 @@ def node_of(s: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, params: JoinParams) -> DataFrame:
-    """doc_id, n, node (null for an empty set), point, keys. A task gives a node's keys once."""
+    """doc_id, n, node (null for an empty set), point, coarse, keys. A task gives a node's keys once."""
     words, percent = params.words, params.percent
 
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,30 +158,32 @@ def signatures(docs: DataFrame, params: JoinParams) -> DataFrame:
                 for text in part["text"]:
                     s = shingle_set(text, words, cache)
                     if not len(s):
-                        rows.append((0, None, None, None))
+                        rows.append((0, None, None, None, None))
                         continue
                     node = node_of(s)
                     if node in seen:
-                        rows.append((len(s), node, None, None))
+                        rows.append((len(s), node, None, None, None))
                         continue
                     if len(seen) < 1_000_000:
                         seen.add(node)
-                    rows.append((len(s), node, point_of(s, params), shard_keys(s, bands)))
-                n, node, point, keys = zip(*rows, strict=True)
-                yield pd.DataFrame(
-                    {"id": part["id"].to_numpy(), "n": n, "node": pd.Series(node, dtype="Int64"), "point": point, "keys": keys}
-                )
+                    rows.append((len(s), node, point_of(s, params), point_of(s, params, 0.0), shard_keys(s, bands)))
+                n, node, point, coarse, keys = zip(*rows, strict=True)
+                node = pd.Series(node, dtype="Int64")
+                ids = part["id"].to_numpy()
+                yield pd.DataFrame({"id": ids, "n": n, "node": node, "point": point, "coarse": coarse, "keys": keys})
 
     # Ids go as text: pandas would turn whole numbers with nulls among them into fractions.
     ids = F.col("doc_id").cast("long").cast("string").alias("id")
     signed = docs.select(ids, F.col("text").cast("string").alias("text")).mapInPandas(
-        sign, "id string, n long, node long, point binary, keys array<long>"
+        sign, "id string, n long, node long, point binary, coarse binary, keys array<long>"
     )
-    return signed.select(F.col("id").cast("long").alias("doc_id"), "n", "node", "point", "keys")
+    return signed.select(F.col("id").cast("long").alias("doc_id"), "n", "node", "point", "coarse", "keys")
 
 
-def point_of(s: np.ndarray, params: JoinParams) -> bytes:
-    bits = max(params.groups.bit_length() - 1, math.ceil(math.log2(max(1.0, params.share * len(s)))))
+def point_of(s: np.ndarray, params: JoinParams, share: float | None = None) -> bytes:
+    """The point of a set; a share of zero gives the fewest coordinates."""
+    share = params.share if share is None else share
+    bits = max(params.groups.bit_length() - 1, math.ceil(math.log2(max(1.0, share * len(s)))))
     coordinate = (_mixed(s) >> np.uint64(64 - bits)).astype(np.int64)
     counts = np.bincount(coordinate, minlength=1 << bits)
     # The first byte says how many bytes a count takes.
@@ -210,7 +212,7 @@ def most_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     for shape in np.unique(shapes, axis=0):
         rows = np.flatnonzero((shapes == shape).all(axis=1))
         width = int(shape.min())
-        for part in np.array_split(rows, -(-len(rows) * width // 4_000_000)):
+        for part in np.array_split(rows, -(-len(rows) * width // 500_000)):
             out[part] = np.minimum(folded(a[part], width), folded(b[part], width)).sum(axis=1)
     return out
 
@@ -442,7 +444,7 @@ def linked(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     nodes = written(
         sig.filter("node is not null")
         .groupBy("node")
-        .agg(F.max("n").alias("n"), F.max("point").alias("point"), F.min("doc_id").alias("doc_id")),
+        .agg(F.max("n").alias("n"), F.max("point").alias("point"), F.max("coarse").alias("coarse"), F.min("doc_id").alias("doc_id")),
         "nodes",
     )
     points = nodes.select("node", "n", "point")
@@ -450,12 +452,9 @@ def linked(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
         shards.select(F.explode(F.array("head", "last")).alias("a"), F.col("node").alias("b")).filter("a <> b")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
-    # Sizes alone rule out many pairs, before any point moves.
-    stars = written(_by_size(stars, nodes, percent), "stars")
-    judged = stars.join(points.toDF("b", "n_b", "point_b"), "b").join(points.toDF("a", "n_a", "point_a"), "a")
-    shared = _overlap(F.col("point_a"), F.col("point_b"))
-    judged = judged.withColumn("shared", shared).filter(_enough(F.col("shared"), F.col("n_a"), F.col("n_b"), percent))
-    judged = written(judged.select("a", "b"), "judged")
+    # Sizes and the fewest coordinates rule out most pairs, before whole points move.
+    stars = written(_bounded(stars, nodes, "coarse", percent), "stars")
+    judged = written(_bounded(stars, nodes, "point", percent), "judged")
     first = _links(judged, docs, nodes, params)
     discard(stars, judged)
     label = components(first)
@@ -479,12 +478,13 @@ def linked(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     return out.select("doc_id", "n_shingles", "node", component.alias("component_id"))
 
 
-def _by_size(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes whose sizes allow the threshold."""
-    sizes = nodes.select("node", "n")
-    sized = pairs.join(sizes.toDF("b", "n_b"), "b").join(sizes.toDF("a", "n_a"), "a")
-    fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    return sized.filter(fits).select("a", "b")
+def _bounded(pairs: DataFrame, nodes: DataFrame, point: str, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes whose sizes and points allow the threshold."""
+    points = nodes.select("node", "n", point)
+    both = pairs.join(points.toDF("b", "n_b", "point_b"), "b").join(points.toDF("a", "n_a", "point_a"), "a")
+    both = both.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    shared = both.withColumn("shared", _overlap(F.col("point_a"), F.col("point_b")))
+    return shared.filter(_enough(F.col("shared"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
 def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, params: JoinParams) -> DataFrame:
