@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from akin.operators.ranks import values_at_ranks
-
 
 def genre_counts(items: DataFrame, n: int = 20) -> DataFrame:
     """The `n` most frequent genres; ties by name."""
@@ -44,27 +41,27 @@ def value_counts(items: DataFrame, column: str, top: int | None = None) -> DataF
     )
 
 
+def _number(column: Column) -> Column:
+    """A column as double; NaN counts as missing."""
+    value = column.cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float]) -> list[float | None]:
     """Exact quantiles with linear interpolation; nulls and NaN are left out."""
-    value = F.col(column).cast("double")
-    clean = df.select(value.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    n = clean.count()
-    if n == 0:
-        return [None] * len(probabilities)
-    at = [p * (n - 1) for p in probabilities]
-    ranks = sorted({r for a in at for r in (math.floor(a), math.ceil(a))})
-    value_at = dict(zip(ranks, values_at_ranks(clean, "v", ranks)))
-    return [
-        value_at[math.floor(a)] + (value_at[math.ceil(a)] - value_at[math.floor(a)]) * (a % 1.0)
-        for a in at
-    ]
+    wanted = F.array(*(F.lit(float(p)) for p in probabilities))
+    found = df.agg(F.percentile(_number(F.col(column)), wanted)).first()[0]
+    return [None] * len(probabilities) if found is None else list(found)
 
 
 def describe(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Count, mean, sample deviation, min, quartiles and max of each named number column."""
-    wide = df.select(*(c.cast("double").alias(name) for name, c in columns.items()))
-    quartiles = {name: exact_quantiles(wide, name, (0.25, 0.5, 0.75)) for name in columns}
-    one = wide.agg(
+    """Count, mean, sample deviation, min, exact quartiles and max of each named number column.
+
+    All columns in one pass; nulls and NaN are left out.
+    """
+    narrow = df.select(*(_number(c).alias(name) for name, c in columns.items()))
+    quartiles = F.array(*(F.lit(q) for q in (0.25, 0.5, 0.75)))
+    one = narrow.agg(
         *(
             F.struct(
                 F.lit(name).alias("column_name"),
@@ -72,21 +69,19 @@ def describe(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
                 F.avg(name).alias("mean"),
                 F.stddev_samp(name).alias("std"),
                 F.min(name).alias("min"),
-                *(
-                    F.lit(q).cast("double").alias(label)
-                    for q, label in zip(quartiles[name], ("q25", "q50", "q75"))
-                ),
+                F.percentile(name, quartiles).alias("q"),
                 F.max(name).alias("max"),
             ).alias(name)
             for name in columns
         )
     )
-    return one.select(F.inline(F.array(*columns)))
+    labels = [F.get("q", i).alias(label) for i, label in enumerate(("q25", "q50", "q75"))]
+    return one.select(F.inline(F.array(*columns))).select("column_name", "count", "mean", "std", "min", *labels, "max")
 
 
 def histogram(df: DataFrame, column: Column, bins: int) -> DataFrame:
-    """Counts in equal-width bins from min to max, the last one closed; empty bins included."""
-    values = df.select(column.cast("double").alias("v")).filter(F.col("v").isNotNull())
+    """Counts in equal-width bins from min to max, the last one closed; empty bins included, NaN left out."""
+    values = df.select(_number(column).alias("v")).filter(F.col("v").isNotNull())
     edge = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     flat = F.col("lo") == F.col("hi")
     low = edge.select(F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo"))).scalar()

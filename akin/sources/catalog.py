@@ -6,11 +6,13 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from akin.functions.numeric import nan_to_null
 from akin.functions.text import clean_html
 from akin.operators.ranks import values_at_ranks
 from akin.schemas import CATALOG, RAW_ITEM
+from akin.sources.scratch import written
 
 
 def read_raw(spark: SparkSession, path: str, file_format: str = "json") -> DataFrame:
@@ -18,6 +20,23 @@ def read_raw(spark: SparkSession, path: str, file_format: str = "json") -> DataF
     return spark.read.schema(RAW_ITEM).format(file_format).load(path)
 
 
+def scan_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Raw items from JSON lines, and the rejects (record, reason) that are no items.
+
+    A line that is not JSON, has a value of another type or has no id is rejected whole. Fields that are
+    missing are null, unknown ones are ignored. Lines are parsed once, into a scratch table.
+    """
+    schema = T.StructType([*RAW_ITEM.fields, T.StructField("_record", T.StringType())])
+    lines = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_record").json(path)
+    parsed = written(lines, "json")
+    broken = F.col("_record").isNotNull()
+    reason = F.when(broken, F.lit("damaged")).otherwise(F.lit("no id"))
+    # Records without an id were parsed, so they are spelled out again.
+    record = F.coalesce("_record", F.to_json(F.struct(*RAW_ITEM.names)))
+    rejects = parsed.filter(broken | F.col("id").isNull()).select(record.alias("record"), reason.alias("reason"))
+    return parsed.filter(~broken & F.col("id").isNotNull()).drop("_record"), rejects
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Partition a small input by key when its files give fewer tasks than there are cores.
 

@@ -254,7 +254,12 @@ def system_stats(similarities: DataFrame, metadata: DataFrame, weights) -> DataF
     )
 
 
-def neighbour_counts(similarities: DataFrame) -> DataFrame:
+def neighbour_counts(similarities: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """(item_id, n) of the stored items, or of those asked for (column item_id), 0 for one without rows."""
+    if items is not None:
+        asked = items.select("item_id").distinct()
+        counts = neighbour_counts(similarities.join(asked, "item_id", "left_semi"))
+        return asked.join(counts, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n"))
     return similarities.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
 
 

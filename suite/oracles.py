@@ -318,6 +318,15 @@ ORACLES["load_catalog_capped"] = query(
     "catalog",
     "SELECT id, name, language, length(summary) AS n_chars FROM catalog ORDER BY id LIMIT 300",
 )
+ORACLES["load_catalog_json"] = query(
+    "catalog",
+    """SELECT id, CASE WHEN id % 9 <> 1 THEN name END AS name, CASE WHEN id % 9 <> 1 THEN language END AS language,
+    length(summary) AS n_chars FROM catalog WHERE id % 9 NOT IN (0, 3)""",
+)
+ORACLES["load_catalog_json_rejects"] = query(
+    "catalog",
+    """SELECT id, CASE id % 9 WHEN 0 THEN 'damaged' ELSE 'no id' END AS reason FROM catalog WHERE id % 9 IN (0, 3)""",
+)
 ORACLES["catalog_page"] = query(
     "catalog",
     """SELECT id, name, (SELECT count(*) FROM catalog) AS total, 60::BIGINT AS "offset",
@@ -729,6 +738,11 @@ ORACLES["full_build"] = RUN
 ORACLES["neighbour_counts"] = query(
     "stored", "SELECT item_id, count(*) AS n FROM stored GROUP BY item_id"
 )
+ORACLES["neighbour_counts_asked"] = query(
+    "stored toxic",
+    """SELECT a.item_id, count(s.item_id) AS n
+    FROM (SELECT unnest([item_id, -1 - item_id]) AS item_id FROM toxic) a LEFT JOIN stored s USING (item_id) GROUP BY 1""",
+)
 ORACLES["distinct_sources"] = query("stored", "SELECT DISTINCT item_id FROM stored")
 ORACLES["reweight_stored_pairs"] = query(
     "remixed", f"SELECT item_id, similar_item_id, {FOUR} FROM remixed"

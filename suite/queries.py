@@ -13,7 +13,7 @@ from akin.operators.pair_stats import PairScores
 from akin.plans.build import CATALOG, build, rebuild_with_weights
 from akin.sources import catalog as catalogs
 from akin.sources import store as tables
-from akin.sources.scratch import written
+from akin.sources.scratch import scratch_path, written
 from suite import fixture as fx
 
 TEXT_HEAVY = WEIGHT_SCHEMES[1]
@@ -49,6 +49,37 @@ def load_catalog_capped(spark, sf):
     return items.select("id", "name", "language", F.length("summary").cast("long").alias("n_chars"))
 
 
+def _json_lines(spark, sf):
+    """The raw items as JSON lines: every ninth is cut short, others lack fields, have more, or have no id."""
+    items = fx.raw_items(spark, sf)
+    whole = F.to_json(F.struct(*items.columns))
+    more = F.concat(F.lit('{"added": [1, {"x": null}], '), F.substring(whole, F.lit(2), F.length(whole)))
+    line = (
+        F.when(F.col("id") % 9 == 0, F.substring(whole, F.lit(1), F.length(whole) - 4))
+        .when(F.col("id") % 9 == 1, F.to_json(F.struct("id", "summary")))
+        .when(F.col("id") % 9 == 2, more)
+        .when(F.col("id") % 9 == 3, F.to_json(F.struct("name", F.col("id").cast("string").alias("status"))))
+        .otherwise(whole)
+    )
+    path = scratch_path(spark, "lines")
+    items.select(line.alias("value")).write.text(path)
+    return path
+
+
+def load_catalog_json(spark, sf):
+    good, _ = catalogs.scan_json(spark, _json_lines(spark, sf))
+    return good.select("id", "name", "language", F.length("summary").cast("long").alias("n_chars"))
+
+
+def load_catalog_json_rejects(spark, sf):
+    _, rejects = catalogs.scan_json(spark, _json_lines(spark, sf))
+    number = F.coalesce(
+        F.nullif(F.regexp_extract("record", r'^\{"id":(\d+)', 1), F.lit("")),
+        F.regexp_extract("record", r'"status":"(\d+)"', 1),
+    )
+    return rejects.select(number.cast("long").alias("id"), "reason")
+
+
 def catalog_page(spark, sf):
     page = catalogs.page(fx.raw_items(spark, sf), offset=60, limit=40)
     return page.select("id", "name", "total", "offset", "limit")
@@ -488,6 +519,13 @@ def neighbour_counts(spark, sf):
     return tables.neighbour_counts(fx.stored_similarities(spark, sf))
 
 
+def neighbour_counts_asked(spark, sf):
+    """Half of the asked ids are not stored."""
+    some = toxic(spark, sf)
+    asked = some.union(some.select(-1 - F.col("item_id")))
+    return tables.neighbour_counts(fx.stored_similarities(spark, sf), asked)
+
+
 def distinct_sources(spark, sf):
     return tables.distinct_sources(fx.stored_similarities(spark, sf))
 
@@ -572,6 +610,8 @@ def verify_sample(spark, sf):
 
 QUERIES = {
     "load_catalog_capped": load_catalog_capped,
+    "load_catalog_json": load_catalog_json,
+    "load_catalog_json_rejects": load_catalog_json_rejects,
     "catalog_page": catalog_page,
     "lookup_by_keys": lookup_by_keys,
     "lookup_children_by_keys": lookup_children_by_keys,
@@ -634,6 +674,7 @@ QUERIES = {
     "system_stats": system_stats,
     "run_stats": run_stats,
     "neighbour_counts": neighbour_counts,
+    "neighbour_counts_asked": neighbour_counts_asked,
     "distinct_sources": distinct_sources,
     "reweight_stored_pairs": reweight_stored_pairs,
     "rebuild_with_weights": rebuild,

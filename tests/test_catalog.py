@@ -138,3 +138,26 @@ def test_enriched_items_have_the_whole_shape(spark, family):
     assert (found[1].network, found[1].rating, found[1].premiered, found[1].season_count) == ("N", 7.0, "2001", 25)
     assert (found[4].summary, found[4].genres, found[4].season_summaries, found[4].season_count) == ("", [], [], 0)
     assert "webchannel" in found[4].asDict()
+
+
+def test_json_lines_are_kept_or_rejected_whole(spark, tmp_path):
+    lines = [
+        '{"id": 1, "name": "a", "rating": {"average": 7.5}, "unknown": [1]}',
+        '{"id": 2, "name": "b"',
+        '{"id": "x", "name": "c"}',
+        '{"name": "d"}',
+        '{"id": 5}',
+        "not json",
+    ]
+    (tmp_path / "items.json").write_text("\n".join(lines))
+    good, rejects = catalog.scan_json(spark, str(tmp_path / "items.json"))
+    rows = {r.id: r for r in good.collect()}
+    assert set(rows) == {1, 5} and rows[1].rating.average == 7.5 and rows[5].name is None
+    assert "_record" not in good.columns
+    found = sorted((r.reason, r.record) for r in rejects.collect())
+    assert found == [
+        ("damaged", "not json"),
+        ("damaged", '{"id": "x", "name": "c"}'),
+        ("damaged", '{"id": 2, "name": "b"'),
+        ("no id", '{"name":"d"}'),
+    ]

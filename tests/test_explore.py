@@ -117,3 +117,12 @@ def test_broken_rows_are_listed_per_column(spark):
     assert sorted(tuple(r) for r in nulls.collect()) == [(2, "name"), (2, "network")]
     too_long = quality.length_violations(df, "item_id")
     assert sorted(tuple(r) for r in too_long.collect()) == [(1, "name"), (1, "network"), (2, "language")]
+
+
+def test_nan_counts_as_missing(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (2.0,), (None,), (4.0,)], "v double")
+    row = explore.describe(df, {"v": F.col("v")}).first()
+    assert (row["count"], row["min"], row["max"], row["q50"]) == (3, 1.0, 4.0, 2.0)
+    assert row["mean"] == pytest.approx(7 / 3)
+    bins = explore.histogram(df, F.col("v"), 3).orderBy("bin").collect()
+    assert [r.n for r in bins] == [1, 1, 1] and bins[0].lower == 1.0
