@@ -34,12 +34,12 @@ def test_page(items, monkeypatch, small):
 def test_prepare_flattens_and_falls_back(spark):
     rows = [
         {"id": 1, "name": "A", "genres": ["Drama"], "summary": "<p>x</p>", "rating": (8.5,),
-         "network": ("HBO",), "webchannel": ("Web",)},
+         "network": ("Nova",), "webchannel": ("Web",)},
         {"id": 2, "name": "B", "genres": [], "rating": (None,), "webchannel": ("Web",)},
         {"id": 3, "name": "C", "network": (None,), "rating": (float("nan"),)},
     ]
     found = {r.id: r for r in catalog.prepare(raw(spark, rows)).collect()}
-    assert [found[i].platform for i in (1, 2, 3)] == ["HBO", "Web", None]
+    assert [found[i].platform for i in (1, 2, 3)] == ["Nova", "Web", None]
     assert [found[i].rating_avg for i in (1, 2, 3)] == [8.5, None, None]
     assert [found[i].summary_clean for i in (1, 2, 3)] == ["x", "", ""]
     assert len(found[1]) == 10

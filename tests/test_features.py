@@ -26,7 +26,7 @@ def items(spark):
         rows.append(
             (i, rng.sample(["Drama", "Crime", "Comedy"], rng.randint(0, 3)), text if i else None,
              rng.choice(["A", "B", None]), rng.choice(["en", "fr", "de", None]),
-             rng.choice(["Netflix", "Netflix", "HBO", "AMC", None]))
+             rng.choice(["Canal", "Canal", "Nova", "Orbit", None]))
         )
     rows.append((60, ["Drama", "Drama"], "w00 w01", "A", "en", "other"))
     return catalog(spark, rows)
@@ -133,7 +133,7 @@ def test_dense_positions_over_many_ranges(spark):
 
 
 def test_a_platform_outside_the_top_is_other(spark):
-    rows = [(i, [], "", None, None, p) for i, p in enumerate(["Netflix", "Netflix", "HBO", "AMC", None])]
+    rows = [(i, [], "", None, None, p) for i, p in enumerate(["Canal", "Canal", "Nova", "Orbit", None])]
     items = catalog(spark, rows)
     ranks = ops.top_categories(items, "platform", 1)
     found = ops.platform_onehot(items, ranks, 1).orderBy("id").collect()

@@ -20,7 +20,7 @@ def strings(*values):
     [
         (None, ""),
         ("", ""),
-        ("<p>This is <b>bold</b> text with <a href='link'>links</a>.</p>", "This is bold text with links."),
+        ("<div>Two <i>old</i> boats on <a href='/lake'>a lake</a>!</div>", "Two old boats on a lake!"),
         ("<p>a</p><p>b</p>", "ab"),
         ("  much \t\n  space  here ", "much space here"),
         ("a < b", "a < b"),
@@ -41,7 +41,7 @@ def test_clean_texts_keeps_one_entry_per_input(spark):
 @pytest.mark.parametrize(
     "summary, children, joined",
     [
-        ("Main summary", ("Season 1", None, "Season 3"), "Main summary Season 1 Season 3"),
+        ("A harbour town", ("Storms", None, "Spring"), "A harbour town Storms Spring"),
         ("<p>Main</p>", ("<b>S1</b>", ""), "Main S1"),
         ("Main", (), "Main"),
         (None, ("S1",), " S1"),
