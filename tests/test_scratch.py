@@ -1,6 +1,8 @@
+import time
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from akin.sources import scratch
 
@@ -50,3 +52,22 @@ def test_a_discarded_table_is_gone_from_the_disk(spark):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
     assert other.count() == 5
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_the_shuffle_files_of_a_write_go_with_it(spark):
+    grouped = spark.range(50_000).groupBy((F.col("id") % 1000).alias("k")).count()
+    before, setting = shuffle_files(spark), spark.conf.get(scratch.CLEAN_UP)
+    table = scratch.written(grouped, "grouped")
+    for _ in range(50):
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and table.count() == 1000
+    # The frame itself can still be run, and other queries are as they were.
+    assert grouped.count() == 1000 and spark.conf.get(scratch.CLEAN_UP) == setting
