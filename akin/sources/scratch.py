@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's own setting: shuffle files go when the query that made them has ended, not when the driver collects garbage.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows go to Python in batches of so many bytes at most, or one row: long texts in one batch would add up.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 
 _local_roots: dict[str, str] = {}
 
@@ -39,12 +42,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    before = spark.conf.get(CLEAN_UP, "false")
+    before = {name: spark.conf.get(name) for name in (CLEAN_UP, BATCH)}
     spark.conf.set(CLEAN_UP, "true")
+    spark.conf.set(BATCH, str(BATCH_BYTES))
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEAN_UP, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     table = spark.read.schema(df.schema).parquet(path)
     table._scratch_path = path
     return table

@@ -1,6 +1,7 @@
 import time
 from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +72,14 @@ def test_the_shuffle_files_of_a_write_go_with_it(spark):
     assert not left and table.count() == 1000
     # The frame itself can still be run, and other queries are as they were.
     assert grouped.count() == 1000 and spark.conf.get(scratch.CLEAN_UP) == setting
+
+
+def test_long_rows_go_to_python_in_small_batches(spark):
+    def size(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": pa.array([batch.nbytes], pa.int64()), "n": pa.array([batch.num_rows], pa.int64())})
+
+    before = spark.conf.get(scratch.BATCH)
+    long = spark.range(0, 3000, numPartitions=1).select(F.repeat(F.lit("abcdefgh"), 1250).alias("text"))
+    found = scratch.written(long.mapInArrow(size, "bytes long, n long"), "sizes").agg(F.max("bytes"), F.sum("n")).first()
+    assert found[0] < 3 * scratch.BATCH_BYTES and found[1] == 3000 and spark.conf.get(scratch.BATCH) == before
