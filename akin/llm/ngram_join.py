@@ -403,7 +403,7 @@ def _across(shards: DataFrame, points: DataFrame, label: DataFrame, params: Join
     mixed = others.join(open_.select("key"), "key", "semi")
     order = shard.orderBy("n", "node")
     cuts = (
-        mixed.select("key", "node", "label").join(points, "node")
+        mixed.select("key", "node", "label").join(points.select("node", "n"), "node")
         .withColumn("cut", F.floor((F.row_number().over(order) - 1) / params.cut).cast("int"))
         .withColumn("cuts", F.max("cut").over(shard) + 1)
     )
@@ -412,8 +412,10 @@ def _across(shards: DataFrame, points: DataFrame, label: DataFrame, params: Join
         lambda k: F.struct(F.least(k, F.col("cut")).alias("i"), F.greatest(k, F.col("cut")).alias("j")),
     )
     dealt = (
-        cuts.select("key", "node", "label", "n", "point", "cut", F.explode(pair).alias("pair"))
-        .select("key", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "cut", "node", "label", "n", "point")
+        cuts.select("key", "node", "label", "n", "cut", F.explode(pair).alias("pair"))
+        .select("key", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "cut", "node", "label", "n")
+        # Points are most of a row, so they come last and move to the trees only.
+        .join(points.select("node", "point"), "node")
         .repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j")
     )
