@@ -70,10 +70,42 @@ def combine_text(summary: Column, children: Column) -> Column:
     return F.array_join(F.concat(F.array(clean_html(summary)), clean_texts(present)), " ")
 
 
+@lru_cache(maxsize=1)
+def spelled_out() -> dict[str, str]:
+    """Letters that stand for several (ligatures, units, fractions) -> what they stand for.
+
+    Hangul syllables are left out: they stay whole, see TOKEN.
+    """
+    out = {}
+    for code in range(128, LAST_WITH_A_BASE + 1):
+        char = chr(code)
+        plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+        if len(plain) > 1 and not "\uac00" <= char <= "\ud7a3":
+            out[char] = plain
+    return out
+
+
+@lru_cache(maxsize=1)
+def _several() -> tuple[str, str]:
+    """The letters of `spelled_out` as a regex class, and the map as one literal for `str_to_map`."""
+    codes = sorted(map(ord, spelled_out()))
+    starts = [c for i, c in enumerate(codes) if i == 0 or codes[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(codes) if i + 1 == len(codes) or codes[i + 1] != c + 1]
+    ranges = (f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True))
+    return f"[{''.join(ranges)}]", "\x01".join(f"{k}\x02{v}" for k, v in spelled_out().items())
+
+
 def fold(text: Column) -> Column:
-    """Lowercase without accents."""
+    """Lowercase without accents; a letter that stands for several is spelled out.
+
+    Only texts with such a letter are taken apart, in one pass.
+    """
     source, target = accent_map()
-    return F.translate(F.lower(text), source, target)
+    letters, entries = _several()
+    lower = F.lower(text)
+    known = F.str_to_map(F.lit(entries), F.lit("\x01"), F.lit("\x02"))
+    spelled = F.array_join(F.transform(F.split(lower, ""), lambda c: F.coalesce(F.element_at(known, c), c)), "")
+    return F.translate(F.when(lower.rlike(letters), spelled).otherwise(lower), source, target)
 
 
 def tokens(text: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:

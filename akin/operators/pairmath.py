@@ -127,16 +127,14 @@ def best_of_blocks(table, lo, hi, schemes, top_n, low, mode):
     a, b = blocks_of(table, lo, hi)
     if a.n == 0 or b.n == 0:
         return None
-    right = np.hstack(b.parts(mode)).astype(np.float32).T
-    found = []
-    for scheme, weights in enumerate(schemes):
-        left = np.hstack([w * part for w, part in zip(weights, a.parts(mode))]).astype(np.float32)
-        # More than single precision can lose in a sum of that many products of unit vectors.
-        margin = 1e-6 * left.shape[1] * sum(map(abs, weights))
-        rules = (scheme, weights, top_n, low, mode)
-        column_reach, column_hits = np.full(b.n, float(low)), []
-        for rows in row_chunks(a.n, ROUGH_ROWS):
-            rough = left[rows] @ right
+    rough_of, width = rough_scores(a, b, schemes, mode)
+    # More than single precision can lose in a sum of that many products of unit vectors.
+    margins = [1e-6 * width * sum(map(abs, weights)) for weights in schemes]
+    column_reach = [np.full(b.n, float(low)) for _ in schemes]
+    column_hits, found = [[] for _ in schemes], []
+    for rows in row_chunks(a.n, ROUGH_ROWS if len(schemes) == 1 else ROUGH_ROWS // 4):
+        for scheme, rough in enumerate(rough_of(rows)):
+            margin, rules = margins[scheme], (scheme, schemes[scheme], top_n, low, mode)
             if lo == hi:
                 rough[np.arange(len(rough)), np.arange(rows.start, rows.stop)] = -np.inf
             reach = np.maximum(low, nth_at_least(rough, top_n, axis=1)) - margin
@@ -146,18 +144,41 @@ def best_of_blocks(table, lo, hi, schemes, top_n, low, mode):
                 copied = np.arange(rows.start, rows.stop)[a.copies[rows] > 1]
                 row, col = np.concatenate([row, copied]), np.concatenate([col, copied])
             else:
-                column_reach = np.maximum(column_reach, nth_at_least(rough, top_n, axis=0))
-                at, hit = np.nonzero(rough >= (column_reach - margin).astype(np.float32))
-                column_hits.append((at + rows.start, hit, rough[at, hit]))
+                highest = np.maximum(column_reach[scheme], nth_at_least(rough, top_n, axis=0))
+                column_reach[scheme] = highest
+                at, hit = np.nonzero(rough >= (highest - margin).astype(np.float32))
+                column_hits[scheme].append((at + rows.start, hit, rough[at, hit]))
             found.append(_best(a, row, b, col, *rules))
-        if column_hits:
-            at, hit, value = (np.concatenate(x) for x in zip(*column_hits))
+    for scheme, hits in enumerate(column_hits):
+        if hits:
+            at, hit, value = (np.concatenate(x) for x in zip(*hits))
             # The reach has risen since the first rows were seen.
-            still = value >= (column_reach - margin).astype(np.float32)[hit]
-            found.append(_best(b, hit[still], a, at[still], *rules))
+            still = value >= (column_reach[scheme] - margins[scheme]).astype(np.float32)[hit]
+            found.append(_best(b, hit[still], a, at[still], scheme, schemes[scheme], top_n, low, mode))
     return pa.concat_tables(found)
 
 
+def rough_scores(a: Block, b: Block, schemes, mode: str):
+    """A function from rows of `a` to their single-precision scores under each scheme, and the vectors' width.
+
+    One scheme is one product of weighted vectors. Several share one product per component and mix those.
+    """
+    left = [part.astype(np.float32) for part in a.parts(mode)]
+    right = [part.astype(np.float32).T for part in b.parts(mode)]
+    width = sum(part.shape[1] for part in left)
+    if len(schemes) == 1:
+        joined = np.hstack([np.float32(w) * part for w, part in zip(schemes[0], left)])
+        against = np.vstack(right)
+        return lambda rows: iter([joined[rows] @ against]), width
+
+    def mixed(rows: slice):
+        products = [x[rows] @ y for x, y in zip(left, right)]
+        for weights in schemes:
+            yield sum(np.float32(w) * product for w, product in zip(weights, products))
+
+    return mixed, width
+
+
 def best_of_asked(table, asked, block, schemes, top_n, low, mode, counter=None):
     """The best `top_n` partners in one block of each asked row, and the row's own copies if any.
 
@@ -240,6 +261,14 @@ def pairwise(a: np.ndarray, row: np.ndarray, b: np.ndarray, col: np.ndarray) ->
 
 
 NAMES = ("genre", "text", "metadata", "hybrid")
+LOW_BITS = 26
+
+
+def counted(at: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
+    """Sums of whole numbers by place, exact: low and high bits are added up on their own."""
+    low, high = n & ((1 << LOW_BITS) - 1), n >> LOW_BITS
+    sums = (np.bincount(at, part, width).astype(np.int64) for part in (low, high))
+    return next(sums) + (next(sums) << LOW_BITS)
 
 
 def scored_rows(table, lo, hi, weights, mode):
@@ -252,20 +281,21 @@ def scored_rows(table, lo, hi, weights, mode):
     for rows in row_chunks(left.n, FULL_ROWS):
         parts = components(left, rows, right, mode)
         mixed = sum(w * part for w, part in zip(weights, parts))
-        count = np.outer(left.copies[rows].astype(float), right.copies.astype(float))
+        count = np.outer(left.copies[rows], right.copies)
         if lo == hi:
             own_row = np.arange(rows.stop - rows.start)
             own_col = own_row + rows.start
-            own = left.copies[rows].astype(float)
-            count = np.where(np.arange(right.n) > own_col[:, None], count, 0.0)
-            count[own_row, own_col] = own * (own - 1) / 2
+            own = left.copies[rows]
+            count = np.where(np.arange(right.n) > own_col[:, None], count, 0)
+            count[own_row, own_col] = own * (own - 1) // 2
         for name, score in zip(NAMES, (*parts, mixed)):
             yield name, units(score), count
 
 
 def moments(table, lo, hi, weights, mode):
     """Count, sum and sum of squares by coarse bucket, and the range, of each component."""
-    sums = {name: np.zeros((3, 0)) for name in NAMES}
+    sums = {name: np.zeros((2, 0)) for name in NAMES}
+    pairs = {name: np.zeros(0, np.int64) for name in NAMES}
     low, high = dict.fromkeys(NAMES, np.inf), dict.fromkeys(NAMES, -np.inf)
     for name, score, count in scored_rows(table, lo, hi, weights, mode):
         used = slice(None) if lo != hi else count > 0
@@ -274,21 +304,23 @@ def moments(table, lo, hi, weights, mode):
             continue
         s, coarse = k / SCALE, k >> COARSE_BITS
         width = max(sums[name].shape[1], int(coarse.max()) + 1)
-        more = np.stack([np.bincount(coarse, w, width) for w in (n, n * s, n * s * s)])
+        more = np.stack([np.bincount(coarse, w, width) for w in (n * s, n * s * s)])
         more[:, : sums[name].shape[1]] += sums[name]
-        sums[name] = more
+        here = counted(coarse, n, width)
+        here[: len(pairs[name])] += pairs[name]
+        sums[name], pairs[name] = more, here
         low[name], high[name] = min(low[name], s.min()), max(high[name], s.max())
     out = []
     for name in NAMES:
-        found = np.flatnonzero(sums[name][0]) if sums[name].size else np.array([], dtype=int)
+        found = np.flatnonzero(pairs[name])
         out.append(
             pa.table(
                 {
                     "component": pa.array([name] * len(found), pa.string()),
                     "bucket": found.astype(np.int64),
-                    "n": sums[name][0][found],
-                    "total": sums[name][1][found],
-                    "squares": sums[name][2][found],
+                    "n": pairs[name][found],
+                    "total": sums[name][0][found],
+                    "squares": sums[name][1][found],
                     "low": np.full(len(found), low[name]),
                     "high": np.full(len(found), high[name]),
                 }
@@ -308,13 +340,13 @@ def exact_counts(table, lo, hi, weights, mode, wanted):
     for name, (scores, counts) in hits.items():
         scores = np.concatenate(scores) if scores else np.array([], dtype=np.int64)
         value, at = np.unique(scores, return_inverse=True)
-        n = np.bincount(at, np.concatenate(counts), len(value)) if len(value) else np.array([])
+        n = counted(at, np.concatenate(counts), len(value)) if len(value) else np.zeros(0, np.int64)
         out.append(
             pa.table(
                 {
                     "component": pa.array([name] * len(value), pa.string()),
                     "value": value.astype(np.int64),
-                    "n": n.astype(float),
+                    "n": n,
                 }
             )
         )
@@ -323,12 +355,12 @@ def exact_counts(table, lo, hi, weights, mode, wanted):
 
 def binned(table, lo, hi, weights, mode, edges, bins):
     """Pairs in each of `bins` equal bins between the given (low, high) of each component."""
-    sums = {name: np.zeros(bins) for name in NAMES}
+    sums = {name: np.zeros(bins, np.int64) for name in NAMES}
     for name, score, count in scored_rows(table, lo, hi, weights, mode):
         low, high = edges[name]
         at = np.floor((score / SCALE - low) * bins / (high - low)).astype(np.int64)
         at = np.clip(at, 0, bins - 1)
-        sums[name] += np.bincount(at.ravel(), count.ravel(), bins)
+        sums[name] += counted(at.ravel(), count.ravel(), bins)
     return pa.concat_tables(
         pa.table({"component": [name] * bins, "bin": np.arange(bins, dtype=np.int64), "n": n})
         for name, n in sums.items()

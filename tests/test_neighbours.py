@@ -261,3 +261,43 @@ def test_asked_items_get_their_lists_out_of_all_items(spark):
     assert counter.value == asked_profiles * profiles
     none = ops.neighbours_of(features, asked.limit(0), weights, 6, 0.2, True, "mean")
     assert none.count() == 0
+
+
+def test_schemes_share_their_products_and_agree_with_one_by_one(spark, features, monkeypatch):
+    monkeypatch.setattr(ops, "MIN_BLOCK", 16)
+    monkeypatch.setattr(ops, "MAX_BLOCK", 64)
+    schemes = (Weights(0.5, 0.3, 0.2, "a"), Weights(0.1, 0.8, 0.1, "b"), Weights(0, 1, 0, "c"))
+    together = ops.top_neighbours(features, schemes, 5, 0.1, True, "mean").collect()
+    alone = [r for w in schemes for r in ops.top_neighbours(features, (w,), 5, 0.1, True, "mean").collect()]
+    assert sorted(map(tuple, together)) == sorted(map(tuple, alone)) and {r.scheme for r in together} == {"a", "b", "c"}
+
+
+def test_one_product_per_component_whatever_the_number_of_schemes():
+    class Part(np.ndarray):
+        products = 0
+
+        def __matmul__(self, other):
+            Part.products += 1
+            return np.asarray(self) @ np.asarray(other)
+
+    class Side:
+        def __init__(self, seed):
+            rng = np.random.default_rng(seed)
+            self.three = tuple(rng.random((6, 4)).view(Part) for _ in range(3))
+
+        def parts(self, mode):
+            return self.three
+
+    a, b = Side(1), Side(2)
+    schemes = [(0.5, 0.3, 0.2), (0.2, 0.2, 0.6), (1.0, 0.0, 0.0), (0.1, 0.8, 0.1)]
+    rough_of, width = pairmath.rough_scores(a, b, schemes, "mean")
+    found = list(rough_of(slice(1, 4)))
+    assert Part.products == 3 and width == 12
+    for weights, rough in zip(schemes, found, strict=True):
+        exact = sum(w * (np.asarray(x)[1:4] @ np.asarray(y).T) for w, x, y in zip(weights, a.three, b.three))
+        assert np.allclose(rough, exact, atol=1e-5)
+
+
+def test_counts_of_pairs_are_exact_beyond_doubles():
+    n = np.array([(1 << 57) + 1, 3, (1 << 57) + 5, 1], dtype=np.int64)
+    assert pairmath.counted(np.array([1, 0, 1, 1]), n, 3).tolist() == [3, (1 << 58) + 7, 0]

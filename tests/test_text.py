@@ -82,9 +82,19 @@ def test_fold_agrees_with_decomposition(spark):
     expected = "".join(
         c for c in unicodedata.normalize("NFKD", sample.lower()) if not unicodedata.combining(c)
     )
-    folded = one(spark, text.fold(F.lit(sample)))
-    # A ligature is more than one letter and stays whole.
-    assert folded.replace("ﬀ", "ff") == expected
+    assert one(spark, text.fold(F.lit(sample))) == expected
+
+
+def test_letters_that_stand_for_several_are_spelled_out(spark):
+    samples = [*text.spelled_out(), "ﬁre at 5㎏, ½ ﬂask 🄀 😀 𝟙", "plain", "", "ＡﬀÉ ﷺ"]
+    frame = spark.createDataFrame(list(enumerate(samples)), "i int, t string")
+    found = {r.i: r.f for r in frame.select("i", text.fold(F.col("t")).alias("f")).collect()}
+    for i, sample in enumerate(samples):
+        plain = unicodedata.normalize("NFKD", sample.lower())
+        assert found[i] == "".join(c for c in plain if not unicodedata.combining(c)), sample
+    assert one(spark, text.fold(F.lit(None).cast("string"))) is None
+    assert one(spark, text.tokens(F.lit("ﬁre at 5㎏ ½"), ())) == ["fire", "at", "5kg"]
+    assert one(spark, text.fold(F.lit("한국"))) == "한국"
 
 
 def test_stop_words_can_be_tokens():
