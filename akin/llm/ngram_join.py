@@ -112,9 +112,10 @@ class Bands:
 def shard_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
     """One key per token group, for the schemes of the own band and of the next one up.
 
-    Linked sets agree in all but `d` of the groups at most. There are some spare groups, so that empty
-    ones, in which unlike sets agree as well, can go without a key: of the `1 + spare` groups that agree,
-    one is not empty, unless both sets have more empty groups than that; such sets give all keys.
+    Linked sets agree in all but `d` of the groups at most. Some groups are spare, so that the smallest ones, which
+    many unlike sets hold as well, can go without a key: a set leaves out all groups of up to as many shingles as it
+    can without leaving out more than `spare`. Of the `1 + spare` groups that agree, one is larger than what either
+    set leaves out.
     """
     out = []
     own = bands.band(len(s))
@@ -123,17 +124,17 @@ def shard_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
         d = bands.differ(scheme)
         if d == 0:
             continue
-        spare = 1 + d // 40
+        spare = 2 + d // 10
         m = d + 1 + spare
         group = np.minimum((s.astype(np.float64) * (m / 2.0**64)).astype(np.int64), m - 1)
         content = np.zeros(m, np.uint64)
         starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         content[group[starts]] = np.add.reduceat(mixed, starts)
-        filled = np.bincount(group, minlength=m) > 0
-        if m - filled.sum() > spare:
-            filled[:] = True
+        size = np.bincount(group, minlength=m)
+        # The size of the first group beyond the spare ones: groups of that size and more give keys.
+        kept = size >= np.partition(size, spare)[spare]
         label = np.arange(m, dtype=np.uint64) + np.uint64((scheme + 1) << 32)
-        out.append(_mixed(_mixed(label) + content)[filled])
+        out.append(_mixed(_mixed(label) + content)[kept])
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 

@@ -81,6 +81,23 @@ def test_join_links_what_brute_force_links(docs, words, percent):
     assert kept.count() == blank + len({find(i) for i, s in enumerate(sets) if s})
 
 
+@pytest.mark.parametrize("percent", [60, 80, 85, 95])
+def test_sets_that_link_share_a_shard(percent):
+    rng, bands = np.random.default_rng(3), ngram_join.Bands(percent)
+    for _ in range(400):
+        size = int(rng.integers(1, 400))
+        base = rng.integers(0, 2**64, size, dtype=np.uint64)
+        most = bands.differ(bands.band(size) + 1)
+        gone = int(rng.integers(0, most + 1))
+        kept = base[min(gone // 2, size - 1):]
+        other = np.unique(np.r_[kept, rng.integers(0, 2**64, gone - gone // 2, dtype=np.uint64)])
+        base = np.unique(base)
+        shared = len(np.intersect1d(base, other))
+        if 100 * shared < percent * (len(base) + len(other) - shared) or np.array_equal(base, other):
+            continue
+        assert len(np.intersect1d(ngram_join.shard_keys(base, bands), ngram_join.shard_keys(other, bands)))
+
+
 def test_point_bound_is_never_below_the_overlap():
     rng, params = np.random.default_rng(1), ngram_join.JoinParams()
     for n in (3, 50, 2000):
