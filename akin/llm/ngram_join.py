@@ -41,8 +41,8 @@ class JoinParams:
 
     Counts of long texts differ by less of their size, so points of longer texts get more coordinates:
     the power of two from `share` of the size on. Two points are compared at the coarser one's grid.
-    A first round verifies the `first` best pairs of a node only; what that connects, the round over all
-    pairs can skip.
+    A first round verifies the `first` best pairs of a node only; a second one searches the groups in which there
+    were more, and skips what the first one connected.
     """
 
     words: int = 4
@@ -291,6 +291,16 @@ def _best(query: np.ndarray, bound: np.ndarray, limit: int | None) -> np.ndarray
     return order[nth < limit]
 
 
+_CROSS = "a long, b long, key long, i long, j long"
+
+
+def _cross_rows(a: np.ndarray, b: np.ndarray, again: pd.DataFrame) -> pd.DataFrame:
+    """Pairs, and after them the groups (key, i, j) that have more pairs than these."""
+    pairs = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+    again = again[["key", "i", "j"]].drop_duplicates()
+    return pd.concat([pairs.astype("Int64"), again.astype("Int64")], ignore_index=True)[["a", "b", "key", "i", "j"]]
+
+
 def _tree_pairs(params: JoinParams, limit: int | None):
     percent, leaf = params.percent, params.leaf
 
@@ -311,10 +321,8 @@ def _tree_pairs(params: JoinParams, limit: int | None):
             tree = CountTree(points[left], sizes[left], comps[left], leaf)
             q, r, bound = tree.search(points[right], sizes[right], comps[right], percent)
             kept = _best(q, bound, limit)
-            q, r = q[kept], r[kept]
-            a, b = nodes[left][r], nodes[right][q]
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            return pd.DataFrame(pairs, columns=["a", "b"])
+            again = group.iloc[:1] if len(kept) < len(q) else group.iloc[:0]
+            return _cross_rows(nodes[left][r[kept]], nodes[right][q[kept]], again)
 
         def leaves(frame: pd.DataFrame, starts: np.ndarray, ends: np.ndarray):
             """Groups that fit one leaf need no boxes: all of them at once, by distance in the group."""
@@ -337,8 +345,8 @@ def _tree_pairs(params: JoinParams, limit: int | None):
                 found.append((x[ok], y[ok], shared[ok]))
             x, y, bound = (np.concatenate([f[i] for f in found]) for i in range(3))
             kept = _best(x, bound, limit)
-            a, b = nodes[x[kept]], nodes[y[kept]]
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            left_out = np.delete(x, kept)
+            yield _cross_rows(nodes[x[kept]], nodes[y[kept]], part.iloc[left_out])
 
         def every(frame: pd.DataFrame, starts: np.ndarray, ends: np.ndarray):
             """Groups up to a leaf together, larger ones each with a tree."""
@@ -383,14 +391,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, params: JoinParams) -> DataFram
     return both.select("a", "b", "set_a", "set_b").mapInPandas(check, "a long, b long")
 
 
-def _across(shards: DataFrame, points: DataFrame, label: DataFrame, params: JoinParams, limit: int | None) -> DataFrame:
-    """Pairs of a shard's nodes that are of different components and pass the bound, by the trees.
+def _across(
+    shards: DataFrame, points: DataFrame, label: DataFrame, params: JoinParams, limit: int | None, only: DataFrame | None
+) -> DataFrame:
+    """Pairs (a, b) of a shard's nodes that are of different components and pass the bound, by the trees.
 
-    With a limit each node gives no more than that many pairs to each tree it is looked up in.
+    With a limit each node gives no more than that many pairs to each tree it is looked up in; where there are
+    more, a row names the group (key, i, j) instead of a pair. Given such groups in `only`, no others are searched:
+    the cuts of a shard depend on its nodes alone, so they are the same again.
     """
     shard = Window.partitionBy("key")
     # The pairs with a shard's smallest and largest node are judged by now, so these can go; a shard whose other nodes
     # are one component has nothing left, and of shards with the same nodes one is enough.
+    if only is not None:
+        shards = shards.join(only.select("key").distinct(), "key", "semi")
     others = shards.filter("node <> head and node <> last").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     others = others.select("key", "node", "label")
     open_ = (
@@ -412,15 +426,18 @@ def _across(shards: DataFrame, points: DataFrame, label: DataFrame, params: Join
         F.sequence(F.lit(0), F.col("cuts") - 1),
         lambda k: F.struct(F.least(k, F.col("cut")).alias("i"), F.greatest(k, F.col("cut")).alias("j")),
     )
+    groups = cuts.select("key", "node", "label", "n", "cut", F.explode(pair).alias("pair")).select(
+        "key", F.col("pair.i").cast("long").alias("i"), F.col("pair.j").cast("long").alias("j"), "cut", "node", "label", "n"
+    )
+    if only is not None:
+        groups = groups.join(only, ["key", "i", "j"], "semi")
     dealt = (
-        cuts.select("key", "node", "label", "n", "cut", F.explode(pair).alias("pair"))
-        .select("key", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "cut", "node", "label", "n")
         # Points are most of a row, so they come last and move to the trees only.
-        .join(points.select("node", "point"), "node")
+        groups.join(points.select("node", "point"), "node")
         .repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j")
     )
-    return written(dealt.mapInPandas(_tree_pairs(params, limit), "a long, b long").distinct(), "cross")
+    return written(dealt.mapInPandas(_tree_pairs(params, limit), _CROSS).distinct(), "cross")
 
 
 def linked(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
@@ -462,14 +479,20 @@ def linked(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     discard(stars, judged)
     label = components(first)
 
+    tables, again = [], None
     for limit in (params.first, None):
-        cross = _across(shards, points, label, params, limit)
-        more = _links(cross, docs, nodes, params)
+        cross = _across(shards, points, label, params, limit, again)
+        tables.append(cross)
+        more = _links(cross.filter("a is not null").select("a", "b"), docs, nodes, params)
         both = written(first.union(more), "links")
-        discard(cross, first, more)
+        discard(first, more)
         first = both
         label = components(first)
-    discard(shards, first)
+        # A group without more pairs than it gave has been judged whole and need not be searched again.
+        again = cross.filter("key is not null").select("key", "i", "j")
+        if again.isEmpty():
+            break
+    discard(shards, first, *tables)
 
     roots = nodes.join(label, "node", "left").select(
         "node", F.coalesce("label", "node").alias("label"), F.col("doc_id").alias("first_id")
