@@ -100,3 +100,12 @@ def test_letters_that_stand_for_several_are_spelled_out(spark):
 def test_stop_words_can_be_tokens():
     assert all(re.fullmatch(r"\w\w+", w) for w in text.STOP_WORDS)
     assert {"the", "couldn", "ll", "would"} <= set(text.STOP_WORDS)
+
+
+def test_letters_that_stand_for_several_do_not_take_a_text_apart(spark):
+    """One lookup per different letter: a long text with one of them is not looked up character by character."""
+    long = "straße ﬁn été " * 20_000 + "㎏ ½"
+    frame = spark.createDataFrame([(long,), (None,), ("",)], "s string").select(text.fold(F.col("s")).alias("f"))
+    assert "split(" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    found = [r.f for r in frame.collect()]
+    assert found == ["straße fin ete " * 20_000 + "kg 1⁄2", None, ""]
