@@ -1,7 +1,9 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -301,3 +303,30 @@ def test_one_product_per_component_whatever_the_number_of_schemes():
 def test_counts_of_pairs_are_exact_beyond_doubles():
     n = np.array([(1 << 57) + 1, 3, (1 << 57) + 5, 1], dtype=np.int64)
     assert pairmath.counted(np.array([1, 0, 1, 1]), n, 3).tolist() == [3, (1 << 58) + 7, 0]
+
+
+def test_a_task_gives_one_list_a_row_however_many_blocks_it_reads(features, monkeypatch):
+    monkeypatch.setattr(ops, "MIN_BLOCK", 8)
+    monkeypatch.setattr(ops, "MAX_BLOCK", 32)
+    profiles = ops.distinct_profiles(ops.with_profile(features), 6)
+    columns, n = ["rep", "copies", "heads", *ops.PAYLOAD], profiles.count()
+    blocks, n_blocks = ops.packed_blocks(profiles, columns, n)
+    rows = blocks.collect()
+    # Each profile is written once, not once per pair of blocks.
+    assert n_blocks > 4 and sum(pa.ipc.open_stream(r.data).read_all().num_rows for r in rows) == n
+    one = rows[0]
+    batch = pa.RecordBatch.from_pylist([{"lo": one.block, "a": bytes(one.data), "hi": r.block, "b": bytes(r.data)} for r in rows])
+    found = pa.concat_tables(pairmath.best_of_stream(pairmath.unpacked([batch]), [(0.4, 0.4, 0.2)], 5, 0.0, "mean"))
+    lengths = Counter(rep for rep, other in zip(found["rep"].to_pylist(), found["other"].to_pylist()) if rep != other)
+    assert set(lengths.values()) == {5} and found.num_rows <= 6 * len(lengths)
+
+
+def test_pairs_of_blocks_come_once_each(features, monkeypatch):
+    monkeypatch.setattr(ops, "MIN_BLOCK", 8)
+    profiles = ops.distinct_profiles(ops.with_profile(features), 1)
+    columns, n = ["rep", "copies", *ops.PAYLOAD], profiles.count()
+    every, once = (
+        [(r.lo, r.hi) for r in ops.block_pairs(profiles, columns, n, once).select("lo", "hi").collect()] for once in (False, True)
+    )
+    assert len(set(every)) == len(every) and {(lo, lo) for lo, _ in every} < set(once)
+    assert Counter(map(frozenset, once)) == Counter(set(map(frozenset, every)))
