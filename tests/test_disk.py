@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from akin.config import FeatureParams, Weights
 from akin.operators import features as feature_ops
+from akin.operators import serve
 from akin.operators.neighbours import top_neighbours
 from akin.operators.pair_stats import PairScores
 from akin.sources.scratch import scratch_root, written
@@ -68,3 +69,12 @@ def test_features_read_the_items_once_and_leave_no_words_behind(spark):
     assert labels(tables(spark) - before).isdisjoint({"tokens", "words", "frequent"})
     assert found.items.count() == 30 and found.term_vocab.count() > 5 and found.genre_vocab.count() == 1
     assert found.platform_rank.count() == 3 and found.type_vocab.count() == 0
+
+
+def test_features_only_travel_for_pairs_of_two_known_items(spark, items):
+    pairs = spark.createDataFrame([(1, 2), (1, 99), (77, 2), (3, None), (5, 1), (None, None)], "item_id long, similar_item_id long")
+    scored = serve.score_pairs(pairs, items.unionByName(items.filter("id = 2")))
+    assert sorted((r.item_id, r.similar_item_id) for r in scored.collect()) == [(1, 2), (1, 2), (5, 1)]
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    # The filter on the partners stands below the joins that bring the features in.
+    assert "LeftSemi" in plan and plan.rindex("Join Inner") < plan.index("LeftSemi")
