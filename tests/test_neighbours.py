@@ -330,3 +330,28 @@ def test_pairs_of_blocks_come_once_each(features, monkeypatch):
     )
     assert len(set(every)) == len(every) and {(lo, lo) for lo, _ in every} < set(once)
     assert Counter(map(frozenset, once)) == Counter(set(map(frozenset, every)))
+
+
+def test_windows_beyond_one_round_leave_no_more_rows(features, monkeypatch):
+    def lists():
+        return sorted(map(tuple, ops.top_neighbours(features, (Weights(),), 3, 0.0).collect()))
+
+    def statistics():
+        return sorted(map(tuple, PairScores(features).statistics().select("component", "n_pairs", "min", "max", "median").collect()))
+
+    whole, counted = lists(), statistics()
+    monkeypatch.setattr(ops, "MIN_BLOCK", 8)
+    monkeypatch.setattr(ops, "MAX_BLOCK", 16)
+    monkeypatch.setattr(ops, "WINDOW_BYTES", 3000)
+    merged, seen = ops._merged, []
+
+    def counting(found, n):
+        seen.append((found.count(), found.select("rep").distinct().count()))
+        return merged(found, n)
+
+    monkeypatch.setattr(ops, "_merged", counting)
+    assert lists() == whole
+    (n_rows, n_reps), = seen
+    # The best so far and those of one round of at most two windows, whatever the number of rounds.
+    assert n_reps > 50 and n_rows <= 3 * 4 * n_reps
+    assert statistics() == counted
