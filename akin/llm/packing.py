@@ -8,6 +8,9 @@ sequence is cut into powers of two, which need no padding.
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,9 +24,39 @@ from pyspark.sql import functions as F
 from akin.llm.common import with_running
 from akin.sources.scratch import written
 
-_CACHED = 500_000
+_CACHED = 300_000
+_CACHED_PARTS = 300_000
 _MARK = ";"
 
+#: A tokenizer that cuts stretches like this gives the ids of a stretch part by part.
+_KNOWN = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"},
+            {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+            {"type": "Lowercase"},
+        ],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+}
+#: Stretches of characters that its normaliser leaves alone or lower-cases one by one, and their parts.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
 
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
@@ -56,12 +89,22 @@ class _Pieces(dict):
         self.tokenizer, self.kind = tokenizer, kind
         mark = tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        self.parts = _Parts(tokenizer, kind) if _cuts_as_known(tokenizer) else None
+        # An added token is found before a stretch is cut.
+        added = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or r"(?!)")
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self]
         if len(self) + len(new) > _CACHED:
             self.clear()
             new = list(words)
+        if self.parts is not None:
+            part, plain, added, cut = self.parts.__getitem__, _PLAIN.fullmatch, self.added.search, _PARTS.findall
+            for w in new:
+                if plain(w) and not added(w):
+                    self[w] = b"".join(map(part, cut(w.lower())))
+            new = [w for w in new if w not in self]
         plain = [w for w in new if _MARK not in w] if self.mark is not None else []
         for i in range(0, len(plain), 2_000):
             self._together(plain[i : i + 2_000])
@@ -84,6 +127,30 @@ class _Pieces(dict):
             self[word] = np.array(found.ids, dtype=self.kind).tobytes()
 
 
+class _Parts(dict):
+    """Part of a plain stretch, in lower case -> its ids as bytes, straight from the tokenizer's model."""
+
+    def __init__(self, tokenizer, kind: str):
+        super().__init__()
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.model, self.form = tokenizer.model, "<%dH" if kind == "<u2" else "<%dI"
+        spelled = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelled = {c: spelled.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= _CACHED_PARTS:
+            self.clear()
+        found = self.model.tokenize(part if part.isascii() else part.translate(self.spelled))
+        ids = self[part] = struct.pack(self.form % len(found), *(t.id for t in found))
+        return ids
+
+
+def _cuts_as_known(tokenizer) -> bool:
+    about = json.loads(tokenizer.to_str())
+    return all(about[name] == spec for name, spec in _KNOWN.items()) and not about["model"].get("dropout")
+
+
 @lru_cache(maxsize=1)
 def _learned(path: str, end: int) -> _Pieces:
     """The stretches that this worker process knows; later tasks go on with them."""
