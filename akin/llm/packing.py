@@ -25,7 +25,7 @@ from akin.llm.common import with_running
 from akin.sources.scratch import written
 
 _CACHED = 300_000
-_CACHED_PARTS = 300_000
+_CACHED_PARTS = 600_000
 _MARK = ";"
 
 #: A tokenizer that cuts stretches like this gives the ids of a stretch part by part.
@@ -55,7 +55,9 @@ _KNOWN = {
 }
 #: Stretches of characters that its normaliser leaves alone or lower-cases one by one, and their parts.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \na-zß-öø-ÿ0-9]+")
+#: Texts of such stretches only, blanks and line ends. Their parts are found in one go.
+_PLAIN_TEXT = re.compile(r"[ \n!-~À-ÖØ-öø-ÿ]*")
 
 
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -94,6 +96,20 @@ class _Pieces(dict):
         added = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added) or r"(?!)")
 
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of whole texts: a plain text is cut into parts at once, others go by their stretches."""
+        out: list = [None] * len(texts)
+        if self.parts is not None:
+            part, plain, added, cut = self.parts.__getitem__, _PLAIN_TEXT.fullmatch, self.added.search, _PARTS.findall
+            for i, text in enumerate(texts):
+                if plain(text) and not added(text):
+                    out[i] = b"".join(map(part, cut(text.lower())))
+        rest = {i: texts[i].replace("\n", " ").split(" ") for i, found in enumerate(out) if found is None}
+        self.learn({w for words in rest.values() for w in words})
+        for i, words in rest.items():
+            out[i] = b"".join(map(self.__getitem__, words))
+        return out
+
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self]
         if len(self) + len(new) > _CACHED:
@@ -215,9 +231,7 @@ def tokenized(docs: DataFrame, params: PackParams) -> DataFrame:
         for frame in frames:
             for at in range(0, len(frame), 300):
                 part = frame.iloc[at : at + 300]
-                texts = [(t or "").replace("\n", " ").split(" ") for t in part["text"]]
-                pieces.learn({w for words in texts for w in words})
-                ids = [b"".join(map(pieces.__getitem__, words)) + end for words in texts]
+                ids = [raw + end for raw in pieces.ids([t or "" for t in part["text"]])]
                 bags = np.zeros((len(ids), params.hashed))
                 for i, raw in enumerate(ids):
                     spread = (np.frombuffer(raw, kind).astype(np.uint64) * np.uint64(2654435761)) >> np.uint64(7)

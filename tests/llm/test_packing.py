@@ -50,3 +50,18 @@ def test_an_unknown_way_to_cut_goes_whole(pieces):
     assert packing._cuts_as_known(pieces.tokenizer)
     pieces.tokenizer.normalizer = normalizers.NFC()
     assert not packing._cuts_as_known(pieces.tokenizer)
+
+
+def test_whole_texts_give_the_ids_of_the_tokenizer(pieces, monkeypatch):
+    rng = random.Random(7)
+    plain = [*map(chr, range(0x21, 0x7F)), "é", "Ü", "'s", "'LL", " ", "  ", "\n", "\n \n", "The", "x;y"]
+    texts = ["", " ", "\n", "don't\nSTOP 2024", *("".join(rng.choices(plain, k=rng.randint(1, 60))) for _ in range(500))]
+    texts += [t + rng.choice(["\t", " ", "中", "<|endoftext|>", "é x", "İ"]) + "end" for t in texts[:200]]
+    monkeypatch.setattr(packing, "_CACHED_PARTS", 50)
+    assert [t for t, raw in zip(texts, pieces.ids(texts), strict=True) if raw != as_before(pieces, t)] == []
+
+
+def test_plain_texts_are_not_cut_into_stretches(pieces):
+    found = pieces.ids(["The cat's\nthe CAT é", "the\tcat"])
+    assert set(pieces) == {"the\tcat"} and {"the", "cat", "'s", "é"} <= set(pieces.parts)
+    assert found[0] == as_before(pieces, "The cat's\nthe CAT é")
