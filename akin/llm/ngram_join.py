@@ -41,8 +41,9 @@ class JoinParams:
 
     Counts of long texts differ by less of their size, so points of longer texts get more coordinates:
     the power of two from `share` of the size on. Two points are compared at the coarser one's grid.
-    A first round verifies the `first` best pairs of a node only; a second one searches the groups in which there
-    were more, and skips what the first one connected.
+    A first round verifies of the `first` best pairs of a node those that make up a spanning forest of a group; a second
+    one goes to the groups in which there were more, skips what the first one connected, and judges pairs where they are
+    found, so neither gives more pairs than a group has nodes.
     """
 
     words: int = 4
@@ -291,7 +292,34 @@ def _best(query: np.ndarray, bound: np.ndarray, limit: int | None) -> np.ndarray
     return order[nth < limit]
 
 
+def _forest(u: np.ndarray, v: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """The pairs (u, v) of a spanning forest that takes better pairs first."""
+    _, flat = np.unique(np.r_[u, v], return_inverse=True)
+    live = np.argsort(-score, kind="stable")
+    a, b = flat[: len(u)][live], flat[len(u) :][live]
+    out = [live[:0]]
+    while len(live):
+        rank = np.arange(len(live))
+        best = np.full(len(flat), len(live))
+        np.minimum.at(best, a, rank)
+        np.minimum.at(best, b, rank)
+        ends = np.flatnonzero(best < len(live))
+        out.append(live[np.unique(best[ends])])
+        # Every end goes to the other end of its best pair; where two go to each other, one stays.
+        to = np.arange(len(flat))
+        to[ends] = a[best[ends]] + b[best[ends]] - ends
+        stays = ends[(to[to[ends]] == ends) & (ends < to[ends])]
+        to[stays] = stays
+        while (to != to[to]).any():
+            to = to[to]
+        a, b = to[a], to[b]
+        apart = a != b
+        a, b, live = a[apart], b[apart], live[apart]
+    return np.concatenate(out)
+
+
 _CROSS = "a long, b long, key long, i long, j long"
+_GROUPED = "key long, i long, j long, cut int, node long, label long, n long"
 
 
 def _cross_rows(a: np.ndarray, b: np.ndarray, again: pd.DataFrame) -> pd.DataFrame:
@@ -301,78 +329,144 @@ def _cross_rows(a: np.ndarray, b: np.ndarray, again: pd.DataFrame) -> pd.DataFra
     return pd.concat([pairs.astype("Int64"), again.astype("Int64")], ignore_index=True)[["a", "b", "key", "i", "j"]]
 
 
-def _tree_pairs(params: JoinParams, limit: int | None):
+def _candidates(params: JoinParams, frames: Iterator[pd.DataFrame]):
+    """(rows, component, x, y, bound): pairs (x, y) of rows of a group that pass the bound, by the trees.
+
+    Rows come sorted by shard and cut pair; a group has at most two cuts of rows. The rows can be those of several
+    groups; components of different groups have different numbers.
+    """
     percent, leaf = params.percent, params.leaf
 
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by shard and cut pair; a group has at most two cuts of rows."""
-
-        def solve(group: pd.DataFrame):
-            raw = group["point"].map(bytes).to_numpy(object)
-            lengths = np.array([_width(p) for p in raw])
-            points = np.zeros((len(raw), lengths.min()), np.int64)
-            for length in np.unique(lengths):
-                points[lengths == length] = folded(raw[lengths == length], points.shape[1])
-            sizes, comps = group["n"].to_numpy(np.int64), group["label"].to_numpy(np.int64)
-            nodes, own = group["node"].to_numpy(np.int64), group["cut"].to_numpy(np.int64)
-            left, right = own == group["i"].iloc[0], own == group["j"].iloc[0]
-            if not left.any() or not right.any():
-                return None
+    def solve(group: pd.DataFrame):
+        raw = group["point"].map(bytes).to_numpy(object)
+        lengths = np.array([_width(p) for p in raw])
+        points = np.zeros((len(raw), lengths.min()), np.int64)
+        for length in np.unique(lengths):
+            points[lengths == length] = folded(raw[lengths == length], points.shape[1])
+        sizes, comps = group["n"].to_numpy(np.int64), group["label"].to_numpy(np.int64)
+        own = group["cut"].to_numpy(np.int64)
+        left, right = np.flatnonzero(own == group["i"].iloc[0]), np.flatnonzero(own == group["j"].iloc[0])
+        if len(left) and len(right):
             tree = CountTree(points[left], sizes[left], comps[left], leaf)
             q, r, bound = tree.search(points[right], sizes[right], comps[right], percent)
-            kept = _best(q, bound, limit)
-            again = group.iloc[:1] if len(kept) < len(q) else group.iloc[:0]
-            return _cross_rows(nodes[left][r[kept]], nodes[right][q[kept]], again)
-
-        def leaves(frame: pd.DataFrame, starts: np.ndarray, ends: np.ndarray):
-            """Groups that fit one leaf need no boxes: all of them at once, by distance in the group."""
-            size = ends - starts
-            rows = np.repeat(starts, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            last = np.repeat(ends, size)
-            part = frame.iloc[rows]
-            points = part["point"].map(bytes).to_numpy(object)
-            sizes, comps = part["n"].to_numpy(np.int64), part["label"].to_numpy(np.int64)
-            nodes = part["node"].to_numpy(np.int64)
-            found = []
-            for step in range(1, max(2, int(size.max()))):
-                x = np.flatnonzero(rows + step < last)
-                y = x + step
-                low, high = np.minimum(sizes[x], sizes[y]), np.maximum(sizes[x], sizes[y])
-                fits = (comps[x] != comps[y]) & (100 * low >= percent * high)
-                x, y = x[fits], y[fits]
-                shared = most_shared(points[x], points[y])
-                ok = shared * (100 + percent) >= (sizes[x] + sizes[y]) * percent
-                found.append((x[ok], y[ok], shared[ok]))
-            x, y, bound = (np.concatenate([f[i] for f in found]) for i in range(3))
-            kept = _best(x, bound, limit)
-            left_out = np.delete(x, kept)
-            yield _cross_rows(nodes[x[kept]], nodes[y[kept]], part.iloc[left_out])
+            yield group, comps, right[q], left[r], bound
+
+    def leaves(frame: pd.DataFrame, starts: np.ndarray, ends: np.ndarray):
+        """Groups that fit one leaf need no boxes: all of them at once, by distance in the group."""
+        size = ends - starts
+        rows = np.repeat(starts, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        last = np.repeat(ends, size)
+        part = frame.iloc[rows]
+        points = part["point"].map(bytes).to_numpy(object)
+        sizes, comps = part["n"].to_numpy(np.int64), part["label"].to_numpy(np.int64)
+        found = []
+        for step in range(1, max(2, int(size.max()))):
+            x = np.flatnonzero(rows + step < last)
+            y = x + step
+            low, high = np.minimum(sizes[x], sizes[y]), np.maximum(sizes[x], sizes[y])
+            fits = (comps[x] != comps[y]) & (100 * low >= percent * high)
+            x, y = x[fits], y[fits]
+            shared = most_shared(points[x], points[y])
+            ok = shared * (100 + percent) >= (sizes[x] + sizes[y]) * percent
+            found.append((x[ok], y[ok], shared[ok]))
+        x, y, bound = (np.concatenate([f[i] for f in found]) for i in range(3))
+        _, apart = np.unique(np.stack([last, comps]), axis=1, return_inverse=True)
+        yield part, apart.reshape(-1), x, y, bound
+
+    def every(frame: pd.DataFrame, starts: np.ndarray, ends: np.ndarray):
+        """Groups up to a leaf together, larger ones each with a tree."""
+        small = (ends - starts <= leaf) & (frame["i"].to_numpy()[starts] == frame["j"].to_numpy()[starts])
+        if small.any():
+            yield from leaves(frame, starts[small], ends[small])
+        for start, end in zip(starts[~small], ends[~small], strict=True):
+            yield from solve(frame.iloc[start:end])
+
+    held = None
+    for frame in frames:
+        if held is not None:
+            frame = pd.concat([held, frame], ignore_index=True)
+        if not len(frame):
+            continue
+        names = frame[["key", "i", "j"]].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]).any(axis=1)])
+        yield from every(frame, starts[:-1], starts[1:])
+        held = frame.iloc[starts[-1] :].reset_index(drop=True)
+    if held is not None:
+        yield from every(held, np.array([0]), np.array([len(held)]))
 
-        def every(frame: pd.DataFrame, starts: np.ndarray, ends: np.ndarray):
-            """Groups up to a leaf together, larger ones each with a tree."""
-            small = (ends - starts <= leaf) & (frame["i"].to_numpy()[starts] == frame["j"].to_numpy()[starts])
-            if small.any():
-                yield from leaves(frame, starts[small], ends[small])
-            for start, end in zip(starts[~small], ends[~small], strict=True):
-                if (out := solve(frame.iloc[start:end])) is not None:
-                    yield out
 
-        held = None
-        for frame in frames:
-            if held is not None:
-                frame = pd.concat([held, frame], ignore_index=True)
-            if not len(frame):
-                continue
-            names = frame[["key", "i", "j"]].to_numpy()
-            starts = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]).any(axis=1)])
-            yield from every(frame, starts[:-1], starts[1:])
-            held = frame.iloc[starts[-1] :].reset_index(drop=True)
-        if held is not None:
-            yield from every(held, np.array([0]), np.array([len(held)]))
+def _certain(part: pd.DataFrame, x: np.ndarray, y: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    sizes = part["n"].to_numpy(np.int64)
+    return bound / (sizes[x] + sizes[y])
+
+
+def _tree_pairs(params: JoinParams, limit: int | None):
+    """All pairs; with a limit, of the best pairs of each node those of a spanning forest of its group's components."""
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, comps, x, y, bound in _candidates(params, frames):
+            nodes, kept = part["node"].to_numpy(np.int64), np.arange(len(x))
+            left_out = x[:0]
+            if limit is not None:
+                kept = _best(x, bound, limit)
+                kept = kept[_forest(comps[x[kept]], comps[y[kept]], _certain(part, x[kept], y[kept], bound[kept]))]
+                pair = np.minimum(x, y) * len(part) + np.maximum(x, y)
+                left_out = x[~np.isin(pair, pair[kept])]
+            yield _cross_rows(nodes[x[kept]], nodes[y[kept]], part.iloc[left_out])
 
     return search
 
 
+def _tree_nodes(params: JoinParams):
+    """The nodes of each group that have a pair there."""
+    columns = [c.split()[0] for c in _GROUPED.split(", ")]
+
+    def nodes_with_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, _, x, y, _ in _candidates(params, frames):
+            yield part.iloc[np.unique(np.r_[x, y])][columns]
+
+    return nodes_with_pairs
+
+
+def _group_links(params: JoinParams):
+    """Pairs (a, b) that really link: a spanning forest of what the links of a group connect, by whole sets."""
+    percent = params.percent
+
+    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def pointed(frame: pd.DataFrame) -> pd.DataFrame:
+            return frame.assign(point=[point_of(np.frombuffer(s, np.uint64), params) for s in frame["shingles"]])
+
+        for part, comps, x, y, bound in _candidates(params, map(pointed, frames)):
+            nodes = part["node"].to_numpy(np.int64)
+            sets = [np.frombuffer(s, np.uint64) for s in part["shingles"]]
+            to: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while (up := to.get(c, c)) != c:
+                    to[c] = to.get(up, up)
+                    c = up
+                return c
+
+            # Of a pair found from both sides one is enough.
+            _, one = np.unique(np.minimum(x, y) * len(part) + np.maximum(x, y), return_index=True)
+            order = one[np.argsort(-_certain(part, x[one], y[one], bound[one]), kind="stable")]
+            keep = []
+            for k, p, q in zip(order.tolist(), x[order].tolist(), y[order].tolist(), strict=True):
+                a, b = root(int(comps[p])), root(int(comps[q]))
+                if a != b and _link(sets[p], sets[q], percent):
+                    to[a] = b
+                    keep.append(k)
+            a, b = nodes[x[keep]], nodes[y[keep]]
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return judge
+
+
+def _link(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared * (100 + percent) >= (len(a) + len(b)) * percent
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, params: JoinParams) -> DataFrame:
     """Pairs (a, b) of nodes whose shingle sets really link."""
     percent = params.percent
@@ -381,9 +475,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, params: JoinParams) -> DataFram
         for frame in frames:
             keep = []
             for raw_a, raw_b in zip(frame["set_a"], frame["set_b"], strict=True):
-                a, b = np.frombuffer(raw_a, np.uint64), np.frombuffer(raw_b, np.uint64)
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(shared * (100 + percent) >= (len(a) + len(b)) * percent)
+                keep.append(_link(np.frombuffer(raw_a, np.uint64), np.frombuffer(raw_b, np.uint64), percent))
             yield frame.loc[keep, ["a", "b"]]
 
     second = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
@@ -391,14 +483,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, params: JoinParams) -> DataFram
     return both.select("a", "b", "set_a", "set_b").mapInPandas(check, "a long, b long")
 
 
-def _across(
-    shards: DataFrame, points: DataFrame, label: DataFrame, params: JoinParams, limit: int | None, only: DataFrame | None
+def _in_groups(
+    shards: DataFrame, points: DataFrame, label: DataFrame, params: JoinParams, only: DataFrame | None = None
 ) -> DataFrame:
-    """Pairs (a, b) of a shard's nodes that are of different components and pass the bound, by the trees.
+    """key, i, j, cut, node, label, n: the nodes of shards that hold different components, by pairs of cuts.
 
-    With a limit each node gives no more than that many pairs to each tree it is looked up in; where there are
-    more, a row names the group (key, i, j) instead of a pair. Given such groups in `only`, no others are searched:
-    the cuts of a shard depend on its nodes alone, so they are the same again.
+    Given groups (key, i, j) in `only`, no others come back: the cuts of a shard depend on its nodes alone, so they
+    are the same again.
     """
     shard = Window.partitionBy("key")
     # The pairs with a shard's smallest and largest node are judged by now, so these can go; a shard whose other nodes
@@ -431,13 +522,14 @@ def _across(
     )
     if only is not None:
         groups = groups.join(only, ["key", "i", "j"], "semi")
-    dealt = (
-        # Points are most of a row, so they come last and move to the trees only.
-        groups.join(points.select("node", "point"), "node")
-        .repartition("key", "i", "j")
-        .sortWithinPartitions("key", "i", "j")
-    )
-    return written(dealt.mapInPandas(_tree_pairs(params, limit), _CROSS).distinct(), "cross")
+    return groups
+
+
+def _searched(groups: DataFrame, column: DataFrame, search, schema: str) -> DataFrame:
+    """What `search` gives for whole groups, sorted, with a column more of their nodes."""
+    # The column is most of a row, so it comes last and moves to the tasks only.
+    dealt = groups.join(column, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInPandas(search, schema)
 
 
 def linked(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
@@ -479,20 +571,23 @@ def linked(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     discard(stars, judged)
     label = components(first)
 
-    tables, again = [], None
-    for limit in (params.first, None):
-        cross = _across(shards, points, label, params, limit, again)
-        tables.append(cross)
-        more = _links(cross.filter("a is not null").select("a", "b"), docs, nodes, params)
+    point = points.select("node", "point")
+    cross = written(_searched(_in_groups(shards, points, label, params), point, _tree_pairs(params, params.first), _CROSS).distinct(), "cross")
+    more = _links(cross.filter("a is not null").select("a", "b"), docs, nodes, params)
+    both = written(first.union(more), "links")
+    discard(first, more)
+    first, label = both, components(both)
+    # A group without more pairs than it gave has been judged whole and need not be searched again.
+    again = cross.filter("key is not null").select("key", "i", "j")
+    if not again.isEmpty():
+        groups = _in_groups(shards, points, label, params, again)
+        left = written(_searched(groups, point, _tree_nodes(params), _GROUPED), "left")
+        sets = _sets(docs, nodes, left.select("node").distinct(), params)
+        more = written(_searched(left, sets, _group_links(params), "a long, b long").distinct(), "links")
         both = written(first.union(more), "links")
-        discard(first, more)
-        first = both
-        label = components(first)
-        # A group without more pairs than it gave has been judged whole and need not be searched again.
-        again = cross.filter("key is not null").select("key", "i", "j")
-        if again.isEmpty():
-            break
-    discard(shards, first, *tables)
+        discard(first, left, sets, more)
+        first, label = both, components(both)
+    discard(shards, first, cross)
 
     roots = nodes.join(label, "node", "left").select(
         "node", F.coalesce("label", "node").alias("label"), F.col("doc_id").alias("first_id")
