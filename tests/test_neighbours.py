@@ -355,3 +355,55 @@ def test_windows_beyond_one_round_leave_no_more_rows(features, monkeypatch):
     # The best so far and those of one round of at most two windows, whatever the number of rounds.
     assert n_reps > 50 and n_rows <= 3 * 4 * n_reps
     assert statistics() == counted
+
+
+def test_pairs_that_cannot_be_listed_are_not_multiplied(monkeypatch):
+    """Two kinds of rows that share nothing: their blocks meet, but hardly a row of one is multiplied with the other."""
+    rng, made = np.random.default_rng(5), []
+    for i in range(600):
+        kind, other = divmod(i, 300)[0], int(rng.integers(0, 3))
+        weights = rng.random(4) + 0.2
+        # The last rows share a term with the other kind.
+        terms = [6 * kind + t for t in (0, 1, 2, 3)] if i % 300 < 290 else [0, 1, 6, 7]
+        made.append((i, kind, [f"g{kind}"], other, "xyz"[other], kind, terms, list(weights / np.linalg.norm(weights))))
+    blocks = [
+        pa.table(
+            {
+                "rep": [r[0] for r in rows], "copies": [1] * len(rows), "heads": [[r[0]] for r in rows],
+                "genres": [r[2] for r in rows], "platform_bucket": pa.array([r[3] for r in rows], pa.int32()),
+                "type": [r[4] for r in rows], "language_bucket": pa.array([r[5] for r in rows], pa.int32()),
+                "term_ids": pa.array([r[6] for r in rows], pa.list_(pa.int32())), "weights": [r[7] for r in rows],
+                "block": pa.array([number] * len(rows), pa.int32()),
+            }
+        )
+        for number, rows in ((k, [r for r in made if r[1] == k]) for k in (0, 1))
+    ]
+    rough_scores, multiplied = pairmath.rough_scores, []
+
+    def counting(*given):
+        rough_of, width = rough_scores(*given)
+
+        def counted(*at):
+            for rough in rough_of(*at):
+                multiplied.append(rough.size)
+                yield rough
+
+        return counted, width
+
+    monkeypatch.setattr(pairmath, "rough_scores", counting)
+    # The other block comes first for one of them, and the block itself does not come at all for the other.
+    pairs = [(0, 1, pa.concat_tables(blocks)), (0, 0, blocks[0]), (1, 0, pa.concat_tables(blocks[::-1]))]
+    mix = (0.4, 0.5, 0.1)
+    found = pa.concat_tables(pairmath.best_of_stream(iter(pairs), [mix], 5, 0.0, "mean")).to_pylist()
+    # Each block with itself, and little of the other two squares.
+    assert 2 * 300**2 <= sum(multiplied) < 2.5 * 300**2
+    as_rows = {r[0]: (r[0], r[2], r[3], r[4], r[5], r[6], None, r[7]) for r in made}
+    for rep in (0, 7, 150, 295, 299):
+        scored = []
+        for other in as_rows:
+            if other != rep:
+                parts = cosine_parts(as_rows[rep], as_rows[other], "mean")
+                scored.append((-round(sum(w * p for w, p in zip(mix, parts)), 9), other))
+        best = sorted((-f["score"], f["other"]) for f in found if f["rep"] == rep)
+        assert [o for _, o in best] == [o for _, o in sorted(scored)[:5]]
+    assert not [f for f in found if f["rep"] >= 300 and f["other"] >= 300]
