@@ -186,3 +186,23 @@ def test_the_plan_reads_only_what_it_needs(spark, tmp_path, items):
     plan = ops.top_categories(stored, "platform", 5)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<platform:string>" in plan and "IsNotNull(platform)" in plan
     assert "TakeOrderedAndProject" in plan
+
+
+def test_terms_are_counted_and_weighed_by_number_not_word_by_word(spark):
+    rows = [(1, ["b", "a", "b", "a"]), (2, []), (3, None), (4, ["a", "b"]), (5, ["c"]), (6, ["é", "b", "c"])]
+    words = spark.createDataFrame(rows, "id long, words array<string>").repartition(3)
+    counted = ops._word_counts(words)
+    assert {tuple(r) for r in counted.collect()} == {("a", 2, 3), ("b", 3, 4), ("c", 2, 2), ("é", 1, 1)}
+    frequent = spark.createDataFrame([("a",), ("b",)], "term string")
+    pairs = ops._pair_counts(words, frequent)
+    assert {tuple(r) for r in pairs.collect()} >= {("b a", 1, 2), ("a b", 2, 2)}
+    vocab = spark.createDataFrame([("a b", 3, 2.0), ("b", 5, 1.0), ("é b", 8, 1.5)], "term string, term_id int, idf double")
+    vectors = ops.with_text(words, vocab)
+    found = {r.id: (r.term_ids, r.tfs) for r in vectors.collect()}
+    assert found == {1: ([3, 5], [1, 2]), 2: ([], []), 3: ([], []), 4: ([3, 5], [1, 1]), 5: ([], []), 6: ([5, 8], [1, 1])}
+    weights = {r.id: r.weights for r in vectors.collect()}
+    assert weights[1] == pytest.approx([2 / math.sqrt(8), 2 / math.sqrt(8)])
+    assert {r.id for r in ops.text_vectors(words, vocab).collect()} == {1, 4, 6}
+    # Functions on single words inside arrays are interpreted, call by call.
+    for frame in (counted, pairs, vectors):
+        assert "lambdafunction" not in frame._jdf.queryExecution().executedPlan().toString()
