@@ -407,3 +407,59 @@ def test_pairs_that_cannot_be_listed_are_not_multiplied(monkeypatch):
         best = sorted((-f["score"], f["other"]) for f in found if f["rep"] == rep)
         assert [o for _, o in best] == [o for _, o in sorted(scored)[:5]]
     assert not [f for f in found if f["rep"] >= 300 and f["other"] >= 300]
+
+
+@pytest.mark.parametrize("mode", ["mean", "concat"])
+def test_the_range_of_pairs_needs_few_products(features, rows, monkeypatch, mode):
+    monkeypatch.setattr(ops, "MIN_BLOCK", 8)
+    monkeypatch.setattr(ops, "MAX_BLOCK", 32)
+    found = {r.component: (r.low, r.high) for r in PairScores(features, metadata_mode=mode)._ranges({}).collect()}
+    for name, values in upper(rows, mode, Weights()).items():
+        assert found[name] == pytest.approx((min(values), max(values)), abs=2e-9)
+    # In one task: what cannot go beyond the range found so far is not multiplied.
+    profiles = ops.counted_profiles(ops.with_profile(features))
+    blocks, n_blocks = ops.packed_blocks(profiles, ["rep", "copies", *ops.PAYLOAD], profiles.count())
+    packed = {r.block: bytes(r.data) for r in blocks.collect()}
+    sizes = {k: pa.ipc.open_stream(v).read_all().num_rows for k, v in packed.items()}
+    pairs = [(lo, hi) for lo in packed for hi in packed if lo <= hi]
+    batch = pa.RecordBatch.from_pylist([{"lo": lo, "a": packed[lo], "hi": hi, "b": packed[hi]} for lo, hi in pairs])
+    scored, seen = pairmath.text_and_hybrid, []
+
+    def counting(*given):
+        for name, units in scored(*given):
+            seen.append(units.size)
+            yield name, units
+
+    monkeypatch.setattr(pairmath, "text_and_hybrid", counting)
+    known = {name: (math.inf, -math.inf) for name in pairmath.NAMES}
+    alone = pa.concat_tables(pairmath.ranges(pairmath.unpacked([batch]), Weights().effective(True), mode, known))
+    assert {r["component"]: (r["low"], r["high"]) for r in alone.to_pylist()} == found
+    assert n_blocks > 3 and sum(seen) < sum(sizes[lo] * sizes[hi] for lo, hi in pairs)
+
+
+def test_genres_and_metadata_are_scored_once_per_kind(monkeypatch):
+    """300 rows of two kinds, some with copies: counts of pairs as if each pair had been scored."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [["a"], ["a", "b"]][i % 2], i % 2, "t", 0, [int(rng.integers(0, 9))], None, [1.0]) for i in range(300)]
+    copies = [1 + (i % 10 == 0) for i in range(300)]
+    table = pa.table(
+        {
+            "rep": [r[0] for r in rows], "copies": copies, "genres": [r[1] for r in rows],
+            "platform_bucket": pa.array([r[2] for r in rows], pa.int32()), "type": [r[3] for r in rows],
+            "language_bucket": pa.array([r[4] for r in rows], pa.int32()),
+            "term_ids": pa.array([r[5] for r in rows], pa.list_(pa.int32())), "weights": [r[7] for r in rows],
+            "block": pa.array([int(i >= 200) for i in range(300)], pa.int32()),
+        }
+    )
+    one, two = (table.filter(pa.array([b == k for b in table["block"].to_pylist()])) for k in (0, 1))
+    mix, edges = Weights().effective(True), {name: (0.0, 1.0) for name in pairmath.NAMES}
+    given = [(0, 0, one), (0, 1, pa.concat_tables([one, two])), (1, 1, two)]
+    scored = {name: 0 for name in pairmath.NAMES}
+    for name, units, *_ in pairmath.scored_rows(given, mix, "mean"):
+        scored[name] += len(units)
+    assert scored["text"] == 200 * 200 + 200 * 100 + 100 * 100 and scored["genre"] == scored["metadata"] == 3 * 2 * 2
+    every = [r for r, n in zip(rows, copies) for _ in range(n)]
+    expected = {n: np.bincount(np.clip((np.rint(np.array(v) * 1e9) / 1e9 * 20).astype(int), 0, 19), minlength=20).tolist() for n, v in upper(every, "mean", Weights()).items()}
+    (found,) = pairmath.binned(given, mix, "mean", edges, 20)
+    for name in pairmath.NAMES:
+        assert [r["n"] for r in found.to_pylist() if r["component"] == name] == expected[name]
